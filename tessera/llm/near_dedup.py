@@ -7,14 +7,16 @@
    equal weight shares get equal points; a register keeps its earliest point. Points come in order of time and stop once
    they are later than all registers of the text. The chance that a register is equal is the weighted Jaccard similarity.
 3. Texts of equal multisets are one node (by a 128-bit digest), so exact copies are never compared.
-4. Bands of `ROWS` registers give buckets. In every bucket the least node is paired with all others, and pairs are verified
-   by the exact overlap of their multisets. Linked nodes form components. Where a bucket still holds several components,
-   the nodes outside its largest one are paired with those of other components, a growing number of them a round, until no
-   untested pair of different components is left. So no link between candidates is lost, while a group of thousands of
-   like texts costs a number of comparisons in proportion.
+4. Bands of `ROWS` registers give buckets. A bucket's nodes are compared with a few of it, first by their signatures (one byte a
+   register), and pairs that agree in `ESTIMATE` of the registers are verified by the exact overlap of their multisets. Linked
+   nodes form components. A bucket with at most R nodes outside its largest component has these compared with all its
+   nodes, and is done; otherwise the nodes outside are compared with R of the largest component, and R grows fourfold for the
+   next round. So every pair of a bucket that is not yet known to be in one component is compared, while a group of
+   thousands of like texts costs comparisons in proportion; the few nodes travel as one array, so no join makes pairs.
 5. Components are found by alternating large-star and small-star steps on edge tables.
 
-With 24 bands of 5, a pair at the threshold of 0.8 shares a bucket with probability 0.9999.
+With 24 bands of 5, a pair at the threshold of 0.8 shares a bucket with probability 0.9999; it agrees in fewer than 0.65 of
+120 registers with probability 0.00005.
 
 Rows are keyed by doc_id with a hash of the text. Edge cases: null and wordless texts are linked to nothing and form a class
 each (rows that repeat such a doc_id and text share it); repeated rows are in one class; extra columns go no further.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.llm.common import map_batches, release, store, table
 from tessera.llm.decontaminate import FOLD
 
-WORDS, THRESHOLD, BANDS, ROWS, CENTRES = 5, 0.8, 24, 5, 4
+WORDS, THRESHOLD, BANDS, ROWS, ESTIMATE = 5, 0.8, 24, 5, 0.65
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -117,8 +119,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, r
     return out
 
 
-def _signed(texts: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray]:
-    """Node digest (None without shingles) and band hashes of every text."""
+def _signed(texts: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """Node digest (None without shingles), band hashes and register bytes of every text."""
     from xxhash import xxh3_128_digest
 
     doc, h = shingles(texts)
@@ -128,14 +130,14 @@ def _signed(texts: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray]:
     band = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), (len(texts), BANDS)).copy()
     for k in range(ROWS):
         band = mix(band * U(BASE) + sig[:, :, k])
-    return nodes, band.view(np.int64)
+    return nodes, band.view(np.int64), mix(sig).astype(np.uint8).reshape(len(texts), -1)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, band = _signed(b.column("text").cast(pa.binary()).to_pylist())
+        nodes, band, sig = _signed(b.column("text").cast(pa.binary()).to_pylist())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS), pa.int32()), pa.array(band.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), bands], names=["doc_id", "th", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), bands, pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "th", "node", "bands", "sig"])
 
 
 def multiset(text: bytes | None) -> np.ndarray:
@@ -166,6 +168,22 @@ def similarity(x: bytes, y: bytes) -> float:
     return same / (a + b - same)
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row's node with those of its array that are in another component and whose signatures agree enough."""
+    for b in batches:
+        out = []
+        few: dict[int, tuple] = {}
+        for key, node, comp, sig, others in zip(*(b.column(k).to_pylist() for k in ("key", "node", "comp", "sig")), b.column("others"), strict=True):
+            if key not in few:
+                own = others.as_py()
+                few = {key: ([(x["node"], x["comp"]) for x in own], np.frombuffer(b"".join(x["sig"] for x in own), np.uint8).reshape(len(own), -1))}
+            names, sigs = few[key]
+            for i in np.flatnonzero((sigs == np.frombuffer(sig, np.uint8)).mean(axis=1) >= ESTIMATE):
+                if names[i][1] != comp:
+                    out.append((min(node, names[i][0]), max(node, names[i][0])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,17 +214,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, centres: int = CENTRES) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th (hash of the text), node and comp of every row; comp is null where a text has no shingles."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    signed = store(map_batches(texts, _sign, "doc_id long, th long, node binary, bands array<long>"))
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"))
+    signed = store(map_batches(texts, _sign, "doc_id long, th long, node binary, bands array<long>, sig binary"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"))
     nodes = store(nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    member = store(rows.join(several, "key").select("key", "node", "centre"))
-    used = member.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node").distinct()
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    member = store(rows.join(several, "key"))
+    used = member.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node")
     with_text = texts.join(used, texts["doc_id"].eqNullSafe(used["d"]) & (texts["th"] == used["h"])).select("node", "text")
     sets = store(map_batches(with_text, _multisets, "node binary, set binary"))
     if _repeats(signed):
@@ -219,31 +237,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, centres: int = CENTRE
         ratio = F.octet_length("x") / F.octet_length("y")  # sizes alone bound the similarity
         return map_batches(with_y.filter((ratio >= threshold) & (ratio <= 1 / threshold)).select("a", "b", "x", "y"), _verify(threshold), "a binary, b binary")
 
-    tested = store(member.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = store(linked(tested))
-    comp = components(links)
-    done = member.select("key", F.col("centre").alias("node")).distinct()
+    comp = tested = links = None
+    few = 1
     while True:
-        placed = member.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = member if comp is None else member.join(comp, "node", "left")
+        placed = placed.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        open_ = placed.join(main, "key")
-        odd = open_.filter("comp != main").join(done, ["key", "node"], "left_anti")
-        odd = odd.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("i") <= centres)
-        odd = store(odd.select("key", F.col("node").alias("o"), F.col("comp").alias("oc")))
-        if odd.limit(1).count() == 0:
-            break
-        new = open_.join(odd, "key").filter("comp != oc").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = store(new)
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
+        open_ = store(placed.join(main, "key").join(nodes.select("node", "sig"), "node").select("key", "node", "comp", "sig", (F.col("comp") == F.col("main")).alias("inside"), "odd"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        chosen = open_.filter((F.col("odd") <= few) != F.col("inside")).withColumn("i", nth).filter(F.col("i") <= few)
+        others = chosen.groupBy("key").agg(F.collect_list(F.struct("node", "comp", "sig")).alias("others"))  # at most `few`
+        asked = open_.filter((F.col("odd") <= few) | ~F.col("inside")).join(others, "key").select("key", "node", "comp", "sig", "others")
+        new = map_batches(asked, _compare, "a binary, b binary").distinct()
+        new = store(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         found = store(linked(new))
-        done = store(done.unionByName(odd.select("key", F.col("o").alias("node"))))
-        if new.limit(1).count():
-            tested = store(tested.unionByName(new))
-        if found.limit(1).count():
-            links = store(links.unionByName(found))
+        tested = new if tested is None else store(tested.unionByName(new))
+        if links is None or found.limit(1).count():
+            links = found if links is None else store(links.unionByName(found))
             comp = components(links)
-        centres *= 2
+        member = open_.filter(F.col("odd") > few).select("key", "node")
         release(spark)
+        if member.limit(1).count() == 0:
+            break
+        few *= 4
     return signed.select("doc_id", "th", "node").join(comp, "node", "left").select("doc_id", "th", "node", F.coalesce("comp", "node").alias("comp"))
 
 
