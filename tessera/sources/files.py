@@ -24,7 +24,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     field = lambda n: F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{n}:(.*)$", 1), r"\s+", " "))
     rule = F.lit("-" * 60)
     body = F.when(F.contains("raw", rule), F.substring("raw", F.locate("-" * 60, F.col("raw")) + 60, F.length("raw"))).otherwise(F.col("raw"))
-    return raw.select("file", F.coalesce(F.nullif(field("TITLE"), F.lit("")), "file").alias("title"), F.nullif(field("SOURCE"), F.lit("")).alias("url"), F.trim(body).alias("body"))
+    return raw.select("file", F.coalesce(F.nullif(field("TITLE"), F.lit("")), "file").alias("title"), F.nullif(field("SOURCE"), F.lit("")).alias("url"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
