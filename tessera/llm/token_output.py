@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.llm.common import map_batches, release, shared_dir, store, table
 
 END_ID, CACHE = 1, 400_000
-#: Characters that separate chunks; a subset of what the pre-tokeniser drops.
-SPACES = str.maketrans("\n\t\r", "   ")
 #: Lengths of the four values of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -40,6 +38,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chunks(text: str) -> list[str]:
+    """Split at a subset of the characters that the pre-tokeniser drops."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -58,7 +61,7 @@ class Encoder:
         if len(cache) > CACHE:
             cache.clear()
         for t in texts:
-            chunked.append(None if t and any(s in t for s in self.special) else t.translate(SPACES).split(" ") if t else [])
+            chunked.append(None if t and any(s in t for s in self.special) else chunks(t) if t else [])
         new = list({c for x in chunked if x for c in x if c not in cache})
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             cache[c] = e.ids
