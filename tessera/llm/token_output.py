@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.common import map_batches, release, shared_dir, store, table
 
-END_ID, CACHE = 1, 400_000
+END_ID, CACHE = 1, 1_000_000
 #: Lengths of the four values of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -43,6 +43,23 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def fold(chunk: str) -> tuple[str, ...]:
+    """Parts with the same ids in a row: letters in lower case, and punctuation at the end. Letters whose lower case depends on
+    their place are left to the library."""
+    core = chunk.rstrip(".,!?;:")
+    if not core.isalpha() or "Σ" in core or "İ" in core:
+        return (chunk,)
+    return (core.lower(), chunk[len(core) :]) if core != chunk else (core.lower(),)
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process, so that its cache lasts from task to task."""
+    import tokenizers
+
+    made = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    return made.get(path) or made.setdefault(path, Encoder(path))
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -62,9 +79,14 @@ class Encoder:
             cache.clear()
         for t in texts:
             chunked.append(None if t and any(s in t for s in self.special) else chunks(t) if t else [])
-        new = list({c for x in chunked if x for c in x if c not in cache})
+        # A word with an end mark or capitals is its lower-case form and the mark, which are pre-tokens of their own.
+        split = {c: fold(c) for c in {c for x in chunked if x for c in x} if c not in cache}
+        new = list({p for ps in split.values() for p in ps if p not in cache})
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             cache[c] = e.ids
+        for c, ps in split.items():
+            if c not in cache:
+                cache[c] = [i for p in ps for i in cache[p]]
         return [self.whole(t) if x is None else [i for c in x for i in cache[c]] for t, x in zip(texts, chunked, strict=True)]
 
 
@@ -93,7 +115,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, keep: list[str]) -> D
     """docs' columns `keep` with n_tokens and ids, unsigned 32-bit in the smallest form: 16 bits if all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             ids = enc.encode(b.column("text").to_pylist())
             raw = [np.array([*x, end_id], "<u4") for x in ids]
