@@ -10,13 +10,19 @@
 4. Bands of `ROWS` registers give buckets. A bucket's nodes are compared with a few of it, first by their signatures (one byte a
    register), and pairs that agree in `ESTIMATE` of the registers are verified by the exact overlap of their multisets. Linked
    nodes form components. A bucket with at most R nodes outside its largest component has these compared with all its
-   nodes, and is done; otherwise the nodes outside are compared with R of the largest component, and R grows fourfold for the
-   next round. So every pair of a bucket that is not yet known to be in one component is compared, while a group of
-   thousands of like texts costs comparisons in proportion; the few nodes travel as one array, so no join makes pairs.
+   nodes, and is done; otherwise the nodes outside are compared with R of the largest component, and R grows 64-fold for the
+   next round. The R are those of the largest buckets in sum: the text that many copies come from is met first. So every
+   pair of a bucket that is not yet known to be in one component is compared, while a group of thousands of like texts
+   costs comparisons in proportion. The few come before the rest in a sorted partition, `BLOCK` at a time; nothing joins
+   nodes to pairs.
+   From the second round on nodes also carry the `SKETCH` least hashes of their multisets, which for a text with no more
+   shingles are the whole multiset: its similarities are known at once. Of several sure partners in one component the best
+   is enough. Of longer texts, pairs are sure from an estimated similarity of `DOUBT` above the threshold, and are verified
+   from as much below.
 5. Components are found by alternating large-star and small-star steps on edge tables.
 
 With 24 bands of 5, a pair at the threshold of 0.8 shares a bucket with probability 0.9999; it agrees in fewer than 0.65 of
-120 registers with probability 0.00005.
+120 registers with probability 0.00005, and a sketch's estimate is off by `DOUBT` with probability 0.000002.
 
 Rows are keyed by doc_id with a hash of the text. Edge cases: null and wordless texts are linked to nothing and form a class
 each (rows that repeat such a doc_id and text share it); repeated rows are in one class; extra columns go no further.
@@ -35,8 +41,10 @@ from tessera.llm.common import map_batches, release, store, table
 from tessera.llm.decontaminate import FOLD
 
 WORDS, THRESHOLD, BANDS, ROWS, ESTIMATE = 5, 0.8, 24, 5, 0.65
+SKETCH, DOUBT, BLOCK = 1024, 0.06, 512
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
+END = U(0xFFFFFFFFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,37 +159,93 @@ def multiset(text: bytes | None) -> np.ndarray:
 
 
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Six bytes a shingle: enough to tell the shingles of two texts apart."""
+    """Six bytes a shingle, in order: enough to tell the shingles of two texts apart."""
     for b in batches:
-        sets = [multiset(t).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+        sets = [np.sort(multiset(t)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
 def similarity(x: bytes, y: bytes) -> float:
     a, b = len(x) // 6, len(y) // 6
     if not a or not b:
         return 0.0
-    wide = np.zeros((a + b, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(x + y, np.uint8).reshape(-1, 6)
-    both = np.sort(wide.reshape(-1).view("<u8"))
+    both = np.sort(unpacked(x + y))
     same = int(np.count_nonzero(both[1:] == both[:-1]))
     return same / (a + b - same)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a row's node with those of its array that are in another component and whose signatures agree enough."""
-    for b in batches:
-        out = []
-        few: dict[int, tuple] = {}
-        for key, node, comp, sig, others in zip(*(b.column(k).to_pylist() for k in ("key", "node", "comp", "sig")), b.column("others"), strict=True):
-            if key not in few:
-                own = others.as_py()
-                few = {key: ([(x["node"], x["comp"]) for x in own], np.frombuffer(b"".join(x["sig"] for x in own), np.uint8).reshape(len(own), -1))}
-            names, sigs = few[key]
-            for i in np.flatnonzero((sigs == np.frombuffer(sig, np.uint8)).mean(axis=1) >= ESTIMATE):
-                if names[i][1] != comp:
-                    out.append((min(node, names[i][0]), max(node, names[i][0])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+class Few:
+    """The nodes of a block, to be compared with one node after the other."""
+
+    def __init__(self, own: list[dict]):
+        self.names, self.comps = [x["node"] for x in own], np.array([x["comp"] for x in own], object)
+        self.sigs = np.frombuffer(b"".join(x["sig"] for x in own), np.uint8).reshape(len(own), -1)
+        if own[0]["sketch"] is None:
+            return
+        self.sketches = [unpacked(x["sketch"]) for x in own]
+        self.sizes, self.whole = np.array([len(x) for x in self.sketches]), np.array([x["n"] <= SKETCH for x in own])
+        self.last = np.array([END if w else x[-1] for x, w in zip(self.sketches, self.whole, strict=True)], U)
+        hashes, owner = np.concatenate(self.sketches), np.repeat(np.arange(len(own)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def agreeing(self, node: dict) -> np.ndarray:
+        """Those of other components whose signatures agree enough."""
+        return np.flatnonzero(((self.sigs == np.frombuffer(node["sig"], np.uint8)).mean(axis=1) >= ESTIMATE) & (self.comps != node["comp"]))
+
+    def similarities(self, sketch: np.ndarray, whole: bool, at: np.ndarray) -> np.ndarray:
+        """To those at `at`, by the hashes up to the last that both sketches reach, all of them if both are whole."""
+        low, high = np.searchsorted(self.hashes, sketch, "left"), np.searchsorted(self.hashes, sketch, "right")
+        n = high - low
+        hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.bincount(self.owner[hit], minlength=len(self.names))[at]
+        end = np.minimum(self.last[at], END if whole else sketch[-1])
+        x, y = np.searchsorted(sketch, end, "right"), self.sizes[at]
+        for k in np.flatnonzero(end < END):
+            y[k] = np.searchsorted(self.sketches[at[k]], end[k], "right")
+        return same / np.maximum(x + y - same, 1)
+
+    def partners(self, node: dict, threshold: float) -> list[bytes]:
+        """Those that node is to be verified with: of sure ones the best of each component, and all in doubt."""
+        at = self.agreeing(node)
+        if node["sketch"] is None or not len(at):
+            return [self.names[i] for i in at]
+        whole = node["n"] <= SKETCH
+        best: dict[bytes, tuple[float, bytes]] = {}
+        doubt = []
+        for i, s in zip(at, self.similarities(unpacked(node["sketch"]), whole, at), strict=True):
+            margin = 0.0 if whole and self.whole[i] else DOUBT
+            if s >= threshold + margin:
+                best[self.comps[i]] = max(best.get(self.comps[i], (0.0, b"")), (s, self.names[i]))
+            elif s >= threshold - margin and margin:
+                doubt.append(self.names[i])
+        return doubt + [x for _, x in best.values()]
+
+
+def _compare(threshold: float):
+    """Pairs to verify of rows in order of (key, part, salt), a block's few before the nodes that are compared with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, few = None, [], None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if (r["key"], r["part"], r["salt"]) != at:
+                    at, own, few = (r["key"], r["part"], r["salt"]), [], None
+                if not r["asked"]:
+                    own.append(r)
+                elif own:
+                    few = few or Few(own)
+                    out += [(min(r["node"], x), max(r["node"], x)) for x in few.partners(r, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _verify(threshold: float):
@@ -222,9 +286,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"))
     nodes = store(nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     member = store(rows.join(several, "key"))
-    used = member.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node")
+    used = store(member.groupBy("node").agg(F.sum("n").alias("score")))
+    member = member.select("key", "node").join(used, "node")
+    used = used.join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node")
     with_text = texts.join(used, texts["doc_id"].eqNullSafe(used["d"]) & (texts["th"] == used["h"])).select("node", "text")
     sets = store(map_batches(with_text, _multisets, "node binary, set binary"))
     if _repeats(signed):
@@ -237,30 +303,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ratio = F.octet_length("x") / F.octet_length("y")  # sizes alone bound the similarity
         return map_batches(with_y.filter((ratio >= threshold) & (ratio <= 1 / threshold)).select("a", "b", "x", "y"), _verify(threshold), "a binary, b binary")
 
-    comp = tested = links = None
+    comp = links = None
     few = 1
     while True:
         placed = member if comp is None else member.join(comp, "node", "left")
         placed = placed.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
-        open_ = store(placed.join(main, "key").join(nodes.select("node", "sig"), "node").select("key", "node", "comp", "sig", (F.col("comp") == F.col("main")).alias("inside"), "odd"))
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "score", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
+        open_ = store(placed.join(main, "key").select("key", "node", "score", "comp", (F.col("comp") == F.col("main")).alias("inside"), (F.col("all") - F.col("most")).alias("odd"), "all"))
+        # Blocks: the few in parts of BLOCK, each beside every salt of the nodes that are compared with them.
+        salts, parts = F.floor(F.col("all") / (8 * BLOCK)), F.floor((F.least("all", F.lit(few)) - 1) / BLOCK)
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
         chosen = open_.filter((F.col("odd") <= few) != F.col("inside")).withColumn("i", nth).filter(F.col("i") <= few)
-        others = chosen.groupBy("key").agg(F.collect_list(F.struct("node", "comp", "sig")).alias("others"))  # at most `few`
-        asked = open_.filter((F.col("odd") <= few) | ~F.col("inside")).join(others, "key").select("key", "node", "comp", "sig", "others")
-        new = map_batches(asked, _compare, "a binary, b binary").distinct()
-        new = store(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
-        found = store(linked(new))
-        tested = new if tested is None else store(tested.unionByName(new))
+        chosen = chosen.select("key", F.floor((F.col("i") - 1) / BLOCK).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.lit(False).alias("asked"), "node", "comp")
+        asked = open_.filter((F.col("odd") <= few) | ~F.col("inside")).withColumn("salt", F.pmod(F.xxhash64("node"), salts + 1))
+        asked = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("part"), "salt", F.lit(True).alias("asked"), "node", "comp")
+        block = chosen.unionByName(asked).join(nodes.select("node", "sig"), "node")
+        if comp is None:  # signatures do for the comparison with one node of each bucket; later rounds have fewer buckets
+            block = block.withColumns({"sketch": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")})
+        else:
+            block = block.join(sets.select("node", F.substring("set", 1, 6 * SKETCH).alias("sketch"), F.floor(F.octet_length("set") / 6).alias("n")), "node")
+        block = block.repartition("key", "part", "salt").sortWithinPartitions("key", "part", "salt", "asked")
+        found = store(linked(map_batches(block, _compare(threshold), "a binary, b binary").distinct()))
         if links is None or found.limit(1).count():
             links = found if links is None else store(links.unionByName(found))
             comp = components(links)
-        member = open_.filter(F.col("odd") > few).select("key", "node")
+        member = open_.filter(F.col("odd") > few).select("key", "node", "score")
         release(spark)
         if member.limit(1).count() == 0:
             break
-        few *= 4
+        few *= 64
     return signed.select("doc_id", "th", "node").join(comp, "node", "left").select("doc_id", "th", "node", F.coalesce("comp", "node").alias("comp"))
 
 

@@ -170,6 +170,29 @@ def test_near_dedup(spark):
     assert near_dedup.assign(frame(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [150, 700])
+def test_near_dedup_of_a_hot_group(spark, size):
+    """Hundreds of copies of one text with few to many words replaced: classes as from all pairs."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        for i in rng.sample(range(size), rng.randrange(size // 25)):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [set(near_dedup.multiset(t.encode()).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    assert 1 < len(set(least)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(near_dedup.assign(docs).select("doc_id", "class_id").collect()) == dict(enumerate(least))
+
+
 def test_signature_is_unbiased():
     z = []
     for n in (12, 80, 900):
