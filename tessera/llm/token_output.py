@@ -7,9 +7,9 @@ Format (a folder; Parquet carries the rows, so that any store Spark reaches will
 A block codes the ranks of its ids: two control bits an id give 1 to 4 data bytes, four ids a control byte, low bits first,
 data little-endian. Decoding looks the four lengths of a control byte up in a table and gathers the data bytes with numpy.
 
-Encoding keeps, for a batch of texts, the ids of each white-space-separated chunk: this vocabulary's pre-tokeniser
-drops white space and never joins across it, so a text's ids are its chunks' ids in a row. Texts that hold a special
-token's string are encoded in one piece.
+Encoding keeps the ids of each white-space-separated chunk of lower-cased text: this vocabulary's pre-tokeniser drops white
+space and never joins across it, so a text's ids are its chunks' ids in a row. Texts that hold a special token's string
+are encoded in one piece.
 
 Parts are ranges of doc_id from quantiles; ids of each are sorted within the part. Nulls of doc_id come first. Rows of
 equal doc_id stand in the order of their ids. Edge cases: null and empty text give the end id alone; an empty table
@@ -18,6 +18,7 @@ gives an empty folder of blocks and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -43,13 +44,9 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-def fold(chunk: str) -> tuple[str, ...]:
-    """Parts with the same ids in a row: letters in lower case, and punctuation at the end. Letters whose lower case depends on
-    their place are left to the library."""
-    core = chunk.rstrip(".,!?;:")
-    if not core.isalpha() or "Σ" in core or "İ" in core:
-        return (chunk,)
-    return (core.lower(), chunk[len(core) :]) if core != chunk else (core.lower(),)
+def lower(text: str) -> str:
+    """The lower case that the normaliser makes; letters whose lower case depends on their place are left to the library."""
+    return text if "Σ" in text or "İ" in text else text.lower()
 
 
 def encoder(path: str) -> Encoder:
@@ -69,25 +66,42 @@ class Encoder:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.width = "<u2" if max(self.tokenizer.get_vocab().values()) < 65536 else "<u4"
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, in `width`."""
         cache, chunked = self.cache, []
         if len(cache) > CACHE:
             cache.clear()
         for t in texts:
-            chunked.append(None if t and any(s in t for s in self.special) else chunks(t) if t else [])
-        # A word with an end mark or capitals is its lower-case form and the mark, which are pre-tokens of their own.
-        split = {c: fold(c) for c in {c for x in chunked if x for c in x} if c not in cache}
-        new = list({p for ps in split.values() for p in ps if p not in cache})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[c] = e.ids
+            low = lower(t or "")
+            special = any(s in t or s in low for s in self.special) if t else False
+            chunked.append(None if special else chunks(low) if t else [])
+        # A word with end marks is the word and the marks, which are pre-tokens of their own.
+        split = {}
+        for c in set().union(*[x for x in chunked if x]).difference(cache):
+            core = c.rstrip(string.punctuation)
+            split[c] = (core, c[len(core) :]) if core and core != c and core.isalpha() else (c,)
+        new = {p for ps in split.values() for p in ps}.difference(cache)
+        # Letters a to z are a pre-token as they are: the library's model takes them without the steps before it.
+        model, rest = self.tokenizer.model, []
+        for p in new:
+            if p.isascii() and p.isalpha() and p.islower():
+                cache[p] = self.packed([t.id for t in model.tokenize(p)])
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            cache[p] = self.packed(e.ids)
         for c, ps in split.items():
-            if c not in cache:
-                cache[c] = [i for p in ps for i in cache[p]]
-        return [self.whole(t) if x is None else [i for c in x for i in cache[c]] for t, x in zip(texts, chunked, strict=True)]
+            if len(ps) == 2:
+                cache[c] = cache[ps[0]] + cache[ps[1]]
+        return [self.packed(self.whole(t)) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, chunked, strict=True)]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -112,15 +126,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with n_tokens and ids, unsigned 32-bit in the smallest form: 16 bits if all fit."""
+    """docs' columns `keep` with n_tokens and ids, 16 bits each if the whole vocabulary fits, else 32, after a byte that gives their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            ids = enc.encode(b.column("text").to_pylist())
-            raw = [np.array([*x, end_id], "<u4") for x in ids]
-            raw = [(b"\2" + x.astype("<u2").tobytes()) if x.max() < 65536 else b"\4" + x.tobytes() for x in raw]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=[*keep, "n_tokens", "ids"])
+            size = int(enc.width[-1])
+            end = np.array([end_id], enc.width).tobytes()
+            raw = [bytes([size]) + x + end for x in enc.encode(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=[*keep, "n_tokens", "ids"])
 
     fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
     return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, fields + "n_tokens long, ids binary")

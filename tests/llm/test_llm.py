@@ -135,6 +135,12 @@ def test_token_output(spark, tmp_path):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output.read(spark, path).collect()) == [(b, a, c, d) for a, b, c, d in want]
 
 
+def test_encoder():
+    enc = token_output.Encoder(token_output.default_tokenizer())
+    texts = ["Σ HELLO World. ΣΑΣ", "İstanbul Ángel don't Áb", "x<|ENDOFTEXT|>y <|endoftext|>", "Kelvin \u212a \u212b \u2126 ǅ ﬁ", "it's word?! a\u00a0b 漢字&&& e\u0301. &and 12a.", "", None]
+    assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [enc.whole(t or "") for t in texts]
+
+
 def test_variable_length_code():
     v = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(v) + 1):
