@@ -9,29 +9,60 @@ from tessera.functions.text import sentences, words
 TARGET, LEAST, MERGE, FEWEST = 150, 60, 240, 20
 
 
-def pack(docs: DataFrame, key: str, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE) -> DataFrame:
-    """(key, chunk, n_words, text). Sentences fill passages up to `target` words, with the last sentence of one repeated in
-    the next; a last passage under `least` words joins the one before if both have at most `ceiling`. A fold over each document's
-    sentences, so documents never leave their row."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("buf"), F.lit(0).alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.size(words(s))
-        full = (F.size(acc["buf"]) > 0) & (acc["n"] + n > target)
+def _fold(units: Column, target: int) -> Column:
+    """Units, structs (s, n) of text and its words, put in order into lists up to `target` words, each but the first opened by the
+    last unit of the one before."""
+    unit = "array<struct<s:string,n:int>>"
+    start = F.struct(F.array().cast(f"array<{unit}>").alias("done"), F.array().cast(unit).alias("buf"), F.lit(0).alias("n"))
+
+    def step(acc: Column, u: Column) -> Column:
+        full = (F.size(acc["buf"]) > 0) & (acc["n"] + u["n"] > target)
         last = F.element_at(acc["buf"], -1)
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["buf"])).alias("done"), F.array(last, s).alias("buf"), (F.size(words(last)) + n).alias("n"))).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["buf"], F.array(s)).alias("buf"), (acc["n"] + n).alias("n")))
-
-    def finish(acc: Column) -> Column:
-        before = F.try_element_at(acc["done"], F.lit(-1))
-        size = lambda a: F.size(words(F.concat_ws(" ", a)))
-        joins = (F.size(acc["done"]) > 0) & (acc["n"] < least) & (size(before) + acc["n"] <= ceiling)
-        joined = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(before, acc["buf"])))
-        return F.when(joins, joined).when(F.size(acc["buf"]) > 0, F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"])
-
-    packed = docs.select(key, F.aggregate(sentences(F.coalesce("text", F.lit(""))), start, step, finish).alias("c"))
-    text = F.concat_ws(" ", "s")
-    return packed.select(key, F.posexplode("c").alias("chunk", "s")).select(key, "chunk", F.size(words(text)).alias("n_words"), text.alias("text"))
+        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["buf"])).alias("done"), F.array(last, u).alias("buf"), (last["n"] + u["n"]).alias("n"))).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["buf"], F.array(u)).alias("buf"), (acc["n"] + u["n"]).alias("n")))
+
+    return F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["buf"]) > 0, F.concat(acc["done"], F.array(acc["buf"]))).otherwise(acc["done"]))
+
+
+def _total(units: Column) -> Column:
+    return F.aggregate(units, F.lit(0), lambda a, u: a + u["n"])
+
+
+def _rows(docs: DataFrame, key: str, lists: Column) -> DataFrame:
+    packed = docs.select(key, lists.alias("c")).select(key, F.posexplode("c").alias("chunk", "u"))
+    return packed.select(key, "chunk", _total(F.col("u")).alias("n_words"), F.concat_ws(" ", "u.s").alias("text"))
+
+
+def pack(docs: DataFrame, key: str, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE) -> DataFrame:
+    """(key, chunk, n_words, text): W8's fold without its hard split, for texts whose sentences are short. A longer sentence stays
+    whole, and only a last passage under `least` words joins the one before, if both have at most `ceiling`. See passages()."""
+    units = F.transform(sentences(F.coalesce("text", F.lit(""))), lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+
+    def merged(c: Column) -> Column:
+        last, before = F.try_element_at(c, F.lit(-1)), F.try_element_at(c, F.lit(-2))
+        joins = (F.size(c) > 1) & (_total(last) < least) & (_total(before) + _total(last) <= ceiling)
+        return F.when(joins, F.concat(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), F.array(F.concat(before, last)))).otherwise(c)
+
+    return _rows(docs.select(key, _fold(units, target).alias("c")), key, merged(F.col("c")))
+
+
+def passages(docs: DataFrame, key: str, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE) -> DataFrame:
+    """(key, chunk, n_words, text). Sentences of more than `target` words are cut into pieces of `target`; sentences and pieces
+    fill passages up to `target` words, with the last of one repeated in the next; then every passage under `least` words joins the
+    one before if both have at most `ceiling`. Folds over each document's sentences, so documents never leave their row."""
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / F.lit(target)).cast("int"))
+        pieces = F.transform(starts, lambda i: F.slice(w, i * target + 1, F.lit(target)))
+        return F.transform(pieces, lambda p: F.struct(F.concat_ws(" ", p).alias("s"), F.size(p).alias("n")))
+
+    def join(acc: Column, c: Column) -> Column:
+        last, n = F.try_element_at(acc, F.lit(-1)), _total(c)
+        joins = (F.size(acc) > 0) & (n < least) & (_total(last) + n <= ceiling)
+        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, c)))).otherwise(F.concat(acc, F.array(c)))
+
+    each = F.filter(F.transform(sentences(F.coalesce("text", F.lit(""))), words), lambda w: F.size(w) > 0)
+    folded = docs.select(key, _fold(F.flatten(F.transform(each, cut)), target).alias("c"))
+    return _rows(folded, key, F.aggregate("c", F.array().cast("array<array<struct<s:string,n:int>>>"), join))
 
 
 def number(chunks: DataFrame, key: str, fewest: int = FEWEST) -> DataFrame:

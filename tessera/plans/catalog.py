@@ -184,8 +184,8 @@ def sentence_split(spark, d):
 
 @query()
 def pack_sentences(spark, d):
-    """Passages of sentences with their ids. A fold; a test has the loop."""
-    c = chunking.number(chunking.pack(t(spark, d, "documents"), "doc_id"), "doc_id")
+    """Passages of sentences with their ids. Folds; a test has the loop."""
+    c = chunking.number(chunking.passages(t(spark, d, "documents"), "doc_id"), "doc_id")
     return c.select("doc_id", "chunk", "chunk_id", "n_words", F.md5("text").alias("digest"))
 
 

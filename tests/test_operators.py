@@ -44,6 +44,40 @@ def test_packing_equals_loop(spark):
     assert sorted((r.k, r.chunk, r.n_words) for r in got) == want
 
 
+def test_passages_equal_reference_rules(spark):
+    """A loop of the rules of W8: hard split, fold with one sentence repeated, every short passage merged backwards."""
+    rnd = random.Random(3)
+    texts = [" ".join(" ".join("w" * rnd.randint(1, 5) for _ in range(rnd.choice((3, 20, 45, 70, 148, 150, 151, 160, 300, 470)))) + "." for _ in range(rnd.randint(0, 14))) for _ in range(40)]
+    sized = lambda *ns: " ".join(" ".join("v" * (1 + i % 7) for i in range(n)) + "." for n in ns)
+    texts += ["", "word " * 3805, sized(151), sized(70, 70, 3, 20, 148, 40), sized(3, 160, 2)]
+    want, inner = [], 0
+    for key, t in enumerate(texts):
+        units = []
+        for s in [x.rstrip(".") + "." for x in t.split(". ") if x] if "." in t else [t] if t else []:
+            w = s.split()
+            units += [w[i : i + 150] for i in range(0, len(w), 150)]
+        chunks, buf = [], []
+        for u in units:
+            if buf and sum(map(len, buf)) + len(u) > 150:
+                chunks.append(sum(buf, []))
+                buf = buf[-1:]
+            buf.append(u)
+        if buf:
+            chunks.append(sum(buf, []))
+        merged = []
+        for i, c in enumerate(chunks):
+            if merged and len(c) < 60 and len(merged[-1]) + len(c) <= 240:
+                merged[-1] = merged[-1] + c
+                inner += i + 1 < len(chunks)
+            else:
+                merged.append(c)
+        want += [(key, i, len(c), " ".join(c)) for i, c in enumerate(merged)]
+    assert inner  # a merge before the last passage is among the cases
+    got = chunking.passages(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k").collect()
+    assert sorted((r.k, r.chunk, r.n_words, r.text) for r in got) == want
+    assert max(r.n_words for r in got) <= 300
+
+
 def test_gate_properties(spark):
     states = decision.decide(catalog.gate_states(spark)).collect()
     assert len(states) == 20 * 3 * 16 + 16 * 3
