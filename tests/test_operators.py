@@ -21,6 +21,19 @@ def test_greedy_keeps_what_a_loop_keeps(spark):
         assert sorted(r.id for r in vectors.greedy_keep(nodes, edges).collect()) == kept
 
 
+def test_nearest_takes_every_vector(spark, monkeypatch):
+    """Only vectors 1 and 3, which a sample of every twentieth leaves out, are near; blocks of 8 make several scans."""
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rnd = random.Random(9)
+    v = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(43)]
+    v[3] = v[1]
+    unit = [[x / sum(y * y for y in a) ** 0.5 for x in a] for a in v]
+    want = {i: max(sum(x * y for x, y in zip(a, b)) for j, b in enumerate(unit) if j != i) for i, a in enumerate(unit)}
+    got = {r.q: r.cosine for r in vectors.nearest(spark.createDataFrame(list(enumerate(v)), "id long, embedding array<float>")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    assert max(got.values()) > 0.999 > max(got[i] for i in got if i % 20 == 0)
+
+
 def test_packing_equals_loop(spark):
     rnd = random.Random(2)
     texts = [" ".join(" ".join("w" * rnd.randint(1, 5) for _ in range(rnd.choice((3, 20, 70, 160)))) + "." for _ in range(rnd.randint(0, 12))) for _ in range(25)]
