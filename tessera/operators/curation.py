@@ -1,4 +1,4 @@
-"""Curation: stub and density filters with reject reasons, word windows, quotability, rank-and-cap selection, gap report."""
+"""Curation: stub and density filters with reject reasons, word windows, marker names, rank-and-cap selection, gap report."""
 
 from __future__ import annotations
 

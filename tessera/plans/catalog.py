@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, curation, decision, lexical, trail, vectors
+from tessera.operators import chunking, curation, decision, facts, lexical, trail, vectors
 from tessera.sources import html
 
 QUERIES: dict = {}
@@ -279,11 +279,17 @@ def intent_classify(spark, d):
 
 @query(f"WITH t(id, text, want) AS (VALUES {_TICKETS}), m AS (SELECT id, unnest(regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1)) AS v FROM t) SELECT id::BIGINT AS id, v::DOUBLE AS value FROM m")
 def metric_readings(spark, d):
-    """percentages in tickets."""
+    """Percentages in tickets, as its SQL has them, without the metric that each belongs to. F10 is metric_mentions."""
     rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(TICKETS)], "id long, text string")
     return rows.select("id", F.explode(tx.percents(F.col("text"))).alias("value"))
 
 
+@query()
+def metric_mentions(spark, d):
+    """metric readings of every turn. No turn of these tables has a percentage, so they give no row; a test has sentences."""
+    return facts.readings(t(spark, d, "conversations"), ["conv_id", "turn"], "text")
+
+
 SCORE_LIMITS = (("return_rate", "selling", "max", 34.0), ("return_rate", "prime", "max", 30.0), ("early_rate", "selling", "min", 45.0), ("early_rate", "prime", "min", 55.0))
 SCORES = """s AS (SELECT l_suppkey, 100.0 * count(*) FILTER (l_returnflag = 'R') / count(*) AS return_rate, 100.0 * count(*) FILTER (l_shipdate < o_orderdate) / count(*) AS early_rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey),
 r AS (SELECT l_suppkey, 'return_rate' AS metric, return_rate AS value FROM s UNION ALL SELECT l_suppkey, 'early_rate', early_rate FROM s), lim(metric, tier, kind, lim) AS (VALUES ('return_rate', 'selling', 'max', 34.0), ('return_rate', 'prime', 'max', 30.0), ('early_rate', 'selling', 'min', 45.0), ('early_rate', 'prime', 'min', 55.0)),
@@ -305,7 +311,7 @@ def standing_findings(spark, d):
 
 @query(f"WITH {SCORES} SELECT l_suppkey, bool_or(status = 'breach' AND tier = 'selling') AS breach_selling, bool_or(status = 'breach' AND tier = 'prime') AS breach_prime, count(*) FILTER (status = 'close') AS n_close FROM f GROUP BY l_suppkey")
 def standing_flags(spark, d):
-    """Breach flags of each supplier."""
+    """Breach flags of each supplier. R8, from text, is facts.readings before the same steps; a test has it."""
     return decision.standing(_findings(spark, d), "l_suppkey")
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, decision, trail, vectors
+from tessera.operators import chunking, decision, facts, trail, vectors
 from tessera.plans import catalog
 from tessera.sources import files, html
 
@@ -91,6 +91,31 @@ def test_passages_equal_reference_rules(spark):
     assert max(r.n_words for r in got) <= 300
 
 
+def test_readings_name_their_metric(spark):
+    """F10 by its rules, and R8 from text: readings, limits, statuses, flags."""
+    gap = lambda n: "ODR" + "x".center(n) + "1.5%"
+    cases = [
+        ("my ODR is 1.2% and my VTR is 91 per cent", [("order_defect_rate", 1.2, "ODR is 1.2%"), ("valid_tracking_rate", 91.0, "VTR is 91 per cent")]),
+        ("Pre-fulfilment cancellation rate: 3 percent", [("cancellation_rate", 3.0, "Pre-fulfilment cancellation rate: 3 percent")]),
+        ("valid tracking rate 98.5%", [("valid_tracking_rate", 98.5, "valid tracking rate 98.5%")]),
+        ("1.4% ODR", [("order_defect_rate", 1.4, "")]),
+        ("2% and then some more words ODR", []),
+        (gap(60), [("order_defect_rate", 1.5, gap(60))]),
+        (gap(61), []),
+        ("ODR 1% then 2%, LSR", [("order_defect_rate", 1.0, "ODR 1%")]),
+        ("I refunded 3% of orders", []),
+        ("OTD 95.0% OTD 88%", [("on_time_delivery", 95.0, "OTD 95.0%"), ("on_time_delivery", 88.0, "OTD 88%")]),
+        ("", []),
+        (None, []),
+    ]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "id int, text string")
+    got = facts.readings(rows, ["id"], "text")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, *r) for i, (_, rs) in enumerate(cases) for r in rs)
+    limits = spark.createDataFrame(list(decision.LIMITS), "metric string, tier string, kind string, limit double")
+    flags = {r.id: (r.breach_selling, r.breach_prime, r.n_close) for r in decision.standing(decision.assess(got, limits), "id").collect()}
+    assert flags[0] == (True, True, 0) and flags[2] == (False, True, 0) and flags[9] == (True, True, 0) and 8 not in flags
+
+
 def test_gate_properties(spark):
     states = decision.decide(catalog.gate_states(spark)).collect()
     assert len(states) == 20 * 3 * 16 + 16 * 3
