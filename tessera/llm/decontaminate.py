@@ -8,8 +8,9 @@ for documents with a match to offsets in the original text.
 Size: the automaton is broadcast, so a block holds at most `max_words` item words. A larger benchmark is cut into
 several blocks, each scanned in a pass of its own that hands its word runs to the next.
 
-Edge cases: null or wordless text has no words and no hits; null or wordless items are ignored; repeated items and equal
-windows of several items all count; repeated document rows each give a row; an empty benchmark gives no hits.
+Edge cases: null or wordless text has no words and no hits; null or wordless items are ignored; an item without an id hits words
+as any other, but has no id to be listed or counted; repeated items and equal windows of several items all count; repeated
+document rows each give a row; an empty benchmark gives no hits; a kept column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import map_batches, store, table
+from tessera.llm.common import fields, kept, map_batches, store, table
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Lower-cases A-Z and turns every byte that is no word byte into a space.
@@ -38,14 +39,14 @@ def windows(words: list[bytes], window: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
 
 
-def build(items: list[tuple[str, list[bytes]]], window: int):
+def build(items: list[tuple[str | None, list[bytes]]], window: int):
     """Automaton over the windows of (item id, words). A window's value: (its number of words, its item ids)."""
     import ahocorasick
 
     owners: dict[bytes, set[str]] = {}
     for item, words in items:
         for w in windows(words, window):
-            owners.setdefault(w, set()).add(item)
+            owners.setdefault(w, set()).update(() if item is None else (item,))
     automaton = ahocorasick.Automaton()
     for w, ids in owners.items():
         automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
@@ -62,7 +63,7 @@ def _read_blocks(benchmark: DataFrame, window: int, max_words: int) -> Iterator:
         if items and n + len(words) > max_words:
             yield build(items, window)
             items, n = [], 0
-        if words and row[0] is not None:
+        if words:
             items.append((row[0], words))
             n += len(words)
     yield build(items, window)
@@ -136,13 +137,12 @@ def _pass(docs: DataFrame, automaton, keep: list[str], first: bool, last: bool)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [*keep, "n_words", *(("n_hit", "n_items", "items", "spans") if last else ("items", "_runs", "text"))]
-    fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return map_batches(docs, run, fields + (RESULT if last else "n_words long, items array<string>, _runs array<int>, text string"))
+    return map_batches(docs, run, fields(docs, keep) + (RESULT if last else "n_words long, items array<string>, _runs array<int>, text string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """docs' columns `keep` with n_words, n_hit, n_items, items (sorted ids) and spans (hit characters of the text)."""
-    keep = keep or ["doc_id"]
+    keep = kept(keep, ("n_words", "n_hit", "n_items", "items", "spans", "_runs"))
     at = docs.select(*dict.fromkeys([*keep, "text"]))
     blocks = _read_blocks(benchmark, window, max_words)
     block, first = next(blocks), True

@@ -5,7 +5,8 @@ of at least L; from these follow, for a context limit C: documents over C, total
 text is cut at C (tokens below + C * documents of C and more). Quantiles are read off the same sums.
 
 The sums run over distinct lengths in two levels (within ranges of lengths, then over range totals), so no task holds
-all of them. Edge cases: null and empty text have length 0; an empty table gives no rows.
+all of them. Edge cases: null and empty text have length 0; an empty table gives no rows; rows that repeat count each; extra
+columns are ignored, and a kept column named n_tokens gives way to the result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.llm.common import map_batches, table
+from tessera.llm.common import fields, kept, map_batches, store, table
 
 LIMITS = (128, 256, 512, 1_024, 2_048, 4_096, 8_192, 16_384, 32_768, 65_536, 131_072)
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -43,6 +44,7 @@ def encoding(path: str):
 def lengths(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
     """docs' columns `keep` with n_tokens."""
     path = tokenizer or default_tokenizer()
+    keep = [] if keep == [] else kept(keep, ("n_tokens",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
@@ -50,13 +52,12 @@ def lengths(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> D
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, fields + "n_tokens long")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, fields(docs, keep) + "n_tokens long")
 
 
 def histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """n_tokens, n_docs."""
-    return lengths(docs, [], tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """n_tokens, n_docs; stored, as the sums read it several times and encoding is by far the dearest step."""
+    return store(lengths(docs, [], tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
