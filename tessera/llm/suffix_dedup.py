@@ -17,9 +17,11 @@ string sorting: only suffixes that can matter are exchanged, and they travel fro
    A mid with more than `HOT` wholes is not merged in one task: its windows' 128-bit digests are counted instead.
 4. Covered runs are gathered per text and cut out.
 
-Spans depend on the text alone, so rows are keyed by doc_id with a hash of the text. Matches never cross documents.
+Spans depend on the text alone, so rows are keyed by doc_id, an integer, with a hash of the text. Matches never cross documents.
+A mid, or a context, that holds a great part of all anchors is joined by broadcast of its one row, so no task gets all of them.
 Edge cases: null is empty; texts under `span` bytes keep all; repeated rows and rows sharing a doc_id are copies like any
-others; long runs of one byte match themselves at an offset, so all of such a run goes if it has over `span` bytes.
+others; long runs of one byte match themselves at an offset, so all of such a run goes if it has over `span` bytes; an empty
+table gives no rows; extra columns go no further.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import map_batches, release, store, table
+from tessera.llm.common import HOT_ROWS, discard, map_batches, release, skew_join, store, table
 
 SPAN, GRAM, HOT, PART = 400, 8, 50_000, 20_000
 PAIRS = 24
@@ -279,41 +281,51 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def covered(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
-    """doc_id, th (hash of the text), runs: covered byte runs [s, e) of each text that has some, not yet merged."""
+def covered(docs: DataFrame, span: int = SPAN, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, th (hash of the text), runs: covered byte runs [s, e) of each text that has some, not yet merged; stored."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").filter(F.octet_length("text") >= span)
     found = store(map_batches(texts, _anchor_rows(span), "doc_id long, th long, p int, r short, mid long, whole long"))
     groups = found.groupBy("mid").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
-    known = store(found.join(groups.select("mid", (F.col("lo") != F.col("hi")).alias("mixed")), "mid"))
+    groups = store(groups.select("mid", "n", (F.col("lo") != F.col("hi")).alias("mixed")))
+    total = found.count()
+    known = store(skew_join(found, groups, ["mid"], "n", total, rows=hot_rows))
     release(spark)
+    discard(found, groups)
     left = F.least(F.col("p"), F.lit(span // 2 - GRAM))
     all_of = [F.col("doc_id"), F.col("th"), (F.col("p") - left).alias("s"), (F.col("p") + F.col("r")).cast("int").alias("e")]
     classes = known.filter("mixed").groupBy("mid", "whole").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "p", "r")).alias("rep"))
     classes = store(classes)
+    several = classes.filter("m > 1").select("mid", "whole", "m")
     spans = known.filter(~F.col("mixed")).select(*all_of)
-    spans = spans.unionByName(known.filter("mixed").join(classes.filter("m > 1").select("mid", "whole"), ["mid", "whole"]).select(*all_of))
+    spans = spans.unionByName(skew_join(known.filter("mixed"), several, ["mid", "whole"], "m", total, rows=hot_rows).select(*all_of))
     n = classes.count()
+    done: list[DataFrame] = [known, classes]
     if n:
         parts = max(1, n // PART)
         many = classes.groupBy("mid").agg(F.count("*").alias("c")).filter(F.col("c") > hot)
         flagged = classes.join(many.select("mid", F.lit(1).alias("hot")), "mid", "left") if many.limit(1).count() else classes.withColumn("hot", F.lit(None).cast("int"))
         item = F.struct(F.col("rep.p").alias("p"), F.col("rep.r").cast("int").alias("r"), "m", F.pmod(F.xxhash64("mid"), F.lit(parts)).cast("int").alias("part"), F.coalesce("hot", F.lit(0)).alias("hot"))
-        own = flagged.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).agg(F.collect_list(item).alias("own"))  # within one document
+        own = flagged.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).agg(F.collect_list(item).alias("own"))  # a representative is one row, so within one text
 
         def with_text(which: int) -> DataFrame:
             some = own.withColumn("own", F.filter("own", lambda x: x["hot"] == which)).filter(F.size("own") > 0)
             return texts.join(some, _same(texts, some)).select(texts["doc_id"], texts["th"], "own", "text")
 
         runs = map_batches(with_text(0), _runs(span), "part int, run binary")
-        merged = runs.repartition(parts, "part").groupBy("part").applyInPandas(_merged(span), "doc_id long, th long, s int, e int")
-        spans = spans.unionByName(store(merged))
+        merged = store(runs.repartition(parts, "part").groupBy("part").applyInPandas(_merged(span), "doc_id long, th long, s int, e int"))
+        spans = spans.unionByName(merged)
+        done.append(merged)
         release(spark)
         if flagged.filter("hot = 1").limit(1).count():
             rows = store(map_batches(with_text(1), _window_digests(span), "w binary, doc_id long, th long, s int, many int"))
             twice = rows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
             spans = spans.unionByName(rows.filter("many = 0").join(twice, "w").select("doc_id", "th", "s", (F.col("s") + span).alias("e")))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+            done.append(rows)
+    # A set: rows that repeat doc_id and text have the same runs, which count once.
+    out = store(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("runs")))
+    discard(*done)
+    return out
 
 
 def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -326,9 +338,9 @@ def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_kept: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = SPAN, hot: int = HOT, with_kept: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, removed (the maximal runs) and kept (bytes left)."""
-    runs = store(covered(docs, span, hot))
+    runs = covered(docs, span, hot, hot_rows)
     release(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     joined = rows.join(runs, _same(rows, runs), "left").select(rows["doc_id"], "runs", "text")
