@@ -24,8 +24,10 @@
 With 24 bands of 5, a pair at the threshold of 0.8 shares a bucket with probability 0.9999; it agrees in fewer than 0.65 of
 120 registers with probability 0.00005, and a sketch's estimate is off by `DOUBT` with probability 0.000002.
 
-Rows are keyed by doc_id with a hash of the text. Edge cases: null and wordless texts are linked to nothing and form a class
-each (rows that repeat such a doc_id and text share it); repeated rows are in one class; extra columns go no further.
+Rows are keyed by doc_id, an integer, with a hash of the text. Equal texts, or a class, with a great part of all rows are joined by
+broadcast of their one row, so no task gets all of them. Edge cases: null and wordless texts are linked to nothing and form a
+class each (rows that repeat such a doc_id and text share it); repeated rows are in one class; an empty table gives no rows;
+extra columns go no further, but for keep_first, which gives all back whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.llm.common import map_batches, release, store, table
+from tessera.llm.common import HOT_ROWS, discard, map_batches, release, renamed, skew_join, store, table
 from tessera.llm.decontaminate import FOLD
 
 WORDS, THRESHOLD, BANDS, ROWS, ESTIMATE = 5, 0.8, 24, 5, 0.65
@@ -261,29 +263,30 @@ def _verify(threshold: float):
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of the component) of all nodes that edges (a, b) touch."""
     edges = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    mark = None
+    mark = None  # rows that large star repeats go with small star's
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: greater neighbours move to the least of all. Every node has its lesser neighbours alone after it.
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(large.filter("u != v").distinct())
+        large = store(large.filter("u != v"))
         # Small star: lesser neighbours and the node itself move to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = store(small.filter("u != v").distinct())
+        before, edges = edges, store(small.filter("u != v").distinct())
+        discard(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         mark = now
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, th (hash of the text), node and comp of every row; comp is null where a text has no shingles."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     signed = store(map_batches(texts, _sign, "doc_id long, th long, node binary, bands array<long>, sig binary"))
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
     nodes = store(nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -333,7 +336,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if member.limit(1).count() == 0:
             break
         few *= 64
-    return signed.select("doc_id", "th", "node").join(comp, "node", "left").select("doc_id", "th", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = store(comp.join(nodes.select("node", "copies"), "node"))
+    rows = skew_join(signed.select("doc_id", "th", "node"), placed, ["node"], "copies", signed.count(), "left", hot_rows)
+    return rows.select("doc_id", "th", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def _repeats(signed: DataFrame) -> bool:
@@ -341,23 +346,24 @@ def _repeats(signed: DataFrame) -> bool:
     return signed.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
 
 
-def assign(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def assign(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, th, class_id (least doc_id of the class) and first (whether the row is the class's least doc_id and text)."""
-    rows = store(classes(docs, threshold))
     key = F.coalesce(F.hex("comp"), F.concat_ws(":", F.lit("alone"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("th").cast("string")))
-    keyed = rows.withColumn("key", key)
-    least = keyed.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("a"), F.min(F.struct("doc_id", "th")).alias("b"))
-    least = least.select("key", F.coalesce("a", "b").alias("least"))
-    return keyed.join(least, "key").select("doc_id", "th", F.col("least.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))).alias("first"))
+    keyed = store(classes(docs, threshold, hot_rows).select("doc_id", "th", key.alias("key")))
+    least = keyed.groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("a"), F.min(F.struct("doc_id", "th")).alias("b"), F.count("*").alias("n"))
+    least = store(least.select("key", F.coalesce("a", "b").alias("least"), "n"))
+    rows = skew_join(keyed, least, ["key"], "n", keyed.count(), rows=hot_rows)
+    return rows.select("doc_id", "th", F.col("least.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))).alias("first"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs of each class, all columns; of rows that repeat doc_id and text, one stays."""
     rows = store(assign(docs, threshold).filter("first").select("doc_id", "th"))
     twice = rows.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
-    chosen = rows.distinct().select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"))
-    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h"))).select(docs["*"])
-    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept
+    chosen = rows.distinct().select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
+    safe, back = renamed(docs, "doc_id", "text")
+    kept = safe.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_th")))
+    return (kept.dropDuplicates(["kept_id", "kept_th"]) if twice else kept).select(*back)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
