@@ -8,7 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, langid, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, token_counts, token_output, url_filters
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontaminate, langid, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, token_counts, token_output, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, th string, n_words string"
 
@@ -39,6 +41,11 @@ def test_quality_rules(spark):
         lines = [x for x in t.split("\n") if x.strip(" ")]
         want[(r.doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit))] += 1
     assert got == want
+    for r in quality_rules.apply_policy(quality_rules.ledger(frame(spark, TEXTS))).collect():
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        bad = 100 * r.n_symbols > 10 * r.n_words or 100 * r.n_same_as_before > 15 * r.n_words or 100 * r.n_upper_words > 30 * r.n_words or not 2 * r.n_words <= r.word_chars <= 15 * r.n_words
+        assert r.kept == (not r.base_failed and not bad)
+    assert quality_rules.ledger(frame(spark, TEXTS).limit(0)).count() == 0
 
 
 def test_ablation(spark):
@@ -62,14 +69,14 @@ def test_token_counts(spark):
 @pytest.mark.parametrize("max_words", [10**6, 30])
 def test_decontaminate(spark, max_words):
     words = LONG.split()
-    items = [(1, " ".join(words[50:75])), (2, "one"), (3, None), (4, " ... "), (5, " ".join(words[60:80]).upper()), (10, " ".join(words[90:99])), (1, "zz yy")]
+    items = [(1, " ".join(words[50:75])), (2, "one"), (3, None), (4, " ... "), (5, " ".join(words[60:80]).upper()), (10, " ".join(words[90:99])), (1, "zz yy"), (None, " ".join(words[200:230]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(frame(spark, TEXTS), bench, max_words=max_words).collect())
     own = {}
     for i, t in items:
         w = decontaminate.words_of(t)
         for j in range(max(1, len(w) - 9)) if w else ():
-            own.setdefault(tuple(w[j : j + 10]), set()).add(str(i))
+            own.setdefault(tuple(w[j : j + 10]), set()).update(() if i is None else (str(i),))
     want = Counter()
     for r in frame(spark, TEXTS).collect():
         w, hit, ids = decontaminate.words_of(r.text), set(), set()
@@ -110,15 +117,39 @@ def brute_spans(texts, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("few", [url_filters.FEW, 0])
+def test_url_kinds(spark, few):
+    """Entries match by their own kind; hosts are folded; every capture gets a row, kept columns keep their values."""
+    ev = [("spam", "domain", "B.org.", "add", 0), ("spam", "path", "b.org", "add", 0), ("bad", "domain", "c.org/ok", "add", 0), ("bad", "path", "C.org/ok//", "add", 5), ("bad", "path", "c.org/ok", "remove", 9), ("bad", "path", None, "add", 0), ("allow", "path", "b.org/fine", "add", 0)]
+    events = spark.createDataFrame(ev, "list string, kind string, key string, action string, at long")
+    caps = [(1, "http://b.org/p", 1, "v"), (2, "http://c.org/ok/x", 6, "v"), (3, "http://c.org/okay", 6, "v"), (4, "http://c.org/ok", 9, "v"), (5, "http://b.org/fine/1", 1, "v"), (6, "http://c.org/OK", 6, "v")]
+    pages = spark.createDataFrame(caps, "page_id int, url string, fetched_at long, e string")
+    got = {r.page_id: (r.blocked, r.lists, r.n_entries, r.e) for r in url_filters.judge(pages, events, ["page_id", "e"], few=few).collect()}
+    assert got == {1: (True, ["spam"], 1, "v"), 2: (True, ["bad"], 1, "v"), 3: (False, [], 0, "v"), 4: (False, [], 0, "v"), 5: (False, ["spam"], 2, "v"), 6: (False, [], 0, "v")}
+    named = pages.withColumnsRenamed({"e": "blocked"}).withColumn("lists", F.lit(1)).withColumn("key", F.lit(1))
+    assert [r.blocked for r in url_filters.judge(named, events, ["page_id", "blocked", "key"], few=few).orderBy("page_id").collect()] == [True, True, False, False, False, False]
+    assert url_filters.judge(pages.limit(0), events, ["page_id"], few=few).count() == 0
+    assert url_filters.judge(pages, events.limit(0), ["page_id"], few=few).filter("blocked").count() == 0
+
+
+def test_skew_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (3, 1), (None, 7)], "k int, v int")
+    right = spark.createDataFrame([(1, 50, "a"), (2, 1, "b")], "k int, n int, x string")
+    for how in ("inner", "left"):
+        want = left.join(right.drop("n"), "k", how).collect()
+        assert sorted(map(str, common.skew_join(left, right, ["k"], "n", 53, how, rows=2).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("hot,hot_rows", [(suffix_dedup.HOT, common.HOT_ROWS), (2, 3)])
+def test_suffix_dedup(spark, hot, hot_rows):
     base = ["".join(RND.choice("ab") for _ in range(300)) for _ in range(3)]
     texts = [None, "", "a" * 130, "ab" * 50, "z" * 39, "z" * 41] + ["".join(x[(k := RND.randrange(200)) : k + RND.randrange(30, 120)] for x in RND.choices(base, k=3)) for _ in range(40)]
     df = frame(spark, texts)
     rows = df.collect()
     want = Counter((r.doc_id, *x) for r, x in zip(rows, brute_spans([r.text for r in rows], 40), strict=True))
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, 40, hot).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, 40, hot, hot_rows=hot_rows).collect())
     assert got == want
+    assert suffix_dedup.deduplicate(df.limit(0), 40).count() == 0
 
 
 def test_token_output(spark, tmp_path):
@@ -135,6 +166,12 @@ def test_token_output(spark, tmp_path):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output.read(spark, path).collect()) == [(b, a, c, d) for a, b, c, d in want]
 
 
+def test_token_output_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_output.write(frame(spark, TEXTS).limit(0), path)
+    assert token_output.read(spark, path).count() == 0
+
+
 def test_encoder():
     enc = token_output.Encoder(token_output.default_tokenizer())
     texts = ["Σ HELLO World. ΣΑΣ", "İstanbul Ángel don't Áb", "x<|ENDOFTEXT|>y <|endoftext|>", "Kelvin \u212a \u212b \u2126 ǅ ﬁ", "it's word?! a\u00a0b 漢字&&& e\u0301. &and 12a.", "", None]
@@ -151,11 +188,66 @@ def test_langid(spark):
     rows = [(i, " ".join(RND.choices([["der", "die", "keit", "ung"], ["the", "ing", "of", "that"]][i % 2], k=30)), ["de", "en"][i % 2]) for i in range(80)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     asked = spark.createDataFrame([(1, "der ung keit die der ung die keit"), (2, "that of the ing the of that"), (3, None), (4, "12 !?"), (5, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.lang_best, r.score) for r in langid.identify(asked, model).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, model).collect()}
     assert [got[i][0] for i in range(1, 6)] == ["de", "en", "und", "und", "und"] and all(0 <= s <= 1 for _, s in got.values())
     assert {r.lang_pred for r in langid.identify(asked, langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))).collect()} == {"und"}
 
 
+def test_langid_in_passes(spark):
+    """Many languages in several passes give what one pass does; marks are part of words, numerals are no letters."""
+    rows = [(i, " ".join(RND.choices([f"{k}{x}" for x in ("an", "er", "is", "o")], k=30)), k) for i, k in enumerate("abcdefg" * 12)]
+    rows += [(None, "x" * 9_000, "long"), (7, None, "a"), (7, rows[7][1], None)] + [rows[0]] * 3
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == [*"abcdefg", "long"]
+    asked = frame(spark, [rows[14][1], rows[6][1].upper(), None, "½ ① Ⅷ 12", "", (rows[1][1] + " ") * 900, "cis"]).withColumn("score", F.lit("kept"))
+    one, some = (sorted(map(str, langid.identify(asked, model, ["doc_id", "n_words", "score"], block_langs=k).collect())) for k in (200, 3))
+    assert one == some and "lang_pred='und'" in one[0] + one[1] + one[2]
+    by = {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()}
+    assert (by[0], by[1], by[2], by[4], by[5]) == ("a", "g", "und", "und", "b")
+    assert by[None] == "und" and langid.identify(asked.limit(0), model).count() == 0
+    assert langid.letters("नमस्ते دُنیا é") == "नमस्ते دُنیا é".encode()
+
+
+CLASHES = ["score", "raw_diff", "rate", "_n", "_c", "copy", "mix_key", "pieces", "steps", "_d", "_h", "kept_id", "node", "comp", "n_hit", "n_words", "items", "spans", "_place", "place", "part", "start", "lang_pred", "source_key"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Nulls, empty, long and repeated texts, ties and columns named like inner ones, through every stage; then no rows at all."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(2).collect()]
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars > 1500").limit(12).collect()]
+    docs = frame(spark, [*TEXTS[:6], *good, good[0], items[0], "y " + items[1]]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    first = docs.collect()
+    judged = {}
+    for name, stage in p.STAGES[:-1]:
+        out = p.store(stage(spark, docs, sf))
+        assert out.columns == docs.columns
+        rows = {str(r) for r in first}
+        judged[name] = out.collect()
+        assert all(str(r) in rows for r in judged[name])
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    ids = Counter(r.doc_id for r in judged["decontaminated"])
+    assert ids[len(TEXTS[:6]) + len(good) + 1] == 0 and ids[0] == ids[1] == 1 and ids[6] == 1
+    once = Counter(r.doc_id for r in judged["near_duplicates"])
+    assert max(once.values()) == 1 and once[6] == 1 and once[6 + len(good)] == 0 and once[0] == once[1] == 1
+    assert sum(1 for _ in judged["mixed"]) > 0
+    out = p.tokens(spark, p.store(docs), sf).collect()
+    assert len(out) == len(first) and sorted(r.start for r in out)[0] == 0
+    assert p.tokens(spark, p.store(docs.limit(0)), sf).count() == 0
+
+
+def test_mixing_by_shuffle_and_null_ids(spark):
+    rows = [(i, "t" * (i % 7), f"s{i % 5}", 1) for i in range(400)] + [(None, f"text {i}", "s1", 1) for i in range(200)] + [(None, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int")
+    a, b = (sorted(map(str, mixing.mix(df, few=k).select("doc_id", "text", "source", "copy", "mix_key").collect())) for k in (mixing.FEW, 0))
+    assert a == b and len({r.text for r in mixing.mix(df, epochs=0.5).filter("doc_id is null").collect()}) not in (0, 200)
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixture(df).columns == df.columns
+
+
 def test_mixing(spark):
     rows = [(i, "t" * 10, "big" if i < 3000 else "small" if i < 3300 else None) for i in range(3400)] + [(None, None, "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -173,6 +265,7 @@ def test_near_dedup(spark):
     by = {r.doc_id: r.class_id for r in got}
     assert len(got) == len(texts) + 1 and by[4] == by[5] == by[9] == 4 and by[7] == by[8] == 7 and by[6] == 6 and by[0] == 0 and by[1] == 1 and by[2] == 2
     assert sorted(str(r.doc_id) for r in near_dedup.keep_first(frame(spark, texts)).collect()) == sorted(map(str, [0, 1, 2, None, 4, 6, 7]))
+    assert sorted((str(r.doc_id), r.class_id) for r in near_dedup.assign(frame(spark, texts), hot_rows=1).collect()) == sorted((str(r.doc_id), r.class_id) for r in got)
     assert near_dedup.assign(frame(spark, texts).limit(0)).count() == 0
 
 
@@ -216,11 +309,17 @@ def test_signature_is_unbiased():
 def test_quality_model(spark):
     good = lambda: " ".join(RND.choices(VOCAB, k=60)).capitalize() + "."
     rows = [(i, good() if i % 3 else " ".join(w + "###" for w in RND.choices(VOCAB, k=60)), int(i % 3 > 0)) for i in range(240)]
-    model = quality_model.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_model.fit(labelled, labelled)
     asked = frame(spark, [None, "", good(), good(), " ".join(w + "###" for w in VOCAB)])
     got = {r.doc_id: r.score for r in quality_model.score(asked, model).collect()}
     assert got[2] > 0.7 > got[4] and all(0 <= s <= 1 for s in got.values())
-    assert quality_model.score(asked, quality_model.fit(spark.createDataFrame([], "doc_id long, text string, quality int"))).first().score == 0.5
+    assert [r.score for r in quality_model.score(asked.withColumn("score", F.lit("x")), model, ["doc_id", "score", "th"]).orderBy("doc_id").collect()] == [r.score for r in quality_model.score(asked, model).orderBy("doc_id").collect()]
+    again = labelled.unionByName(labelled.filter("doc_id < 5")).unionByName(spark.createDataFrame([(None, "x", 1), (900, None, 0), (901, "word " * 30_000, 1)], labelled.schema))
+    odd = quality_model.fit(again, again, 20, 30)
+    assert all(0 <= r.score <= 1 for r in quality_model.score(again, odd).collect()) and odd == quality_model.fit(again.repartition(5), again, 20, 30)
+    none = labelled.limit(0)
+    assert quality_model.score(asked, quality_model.fit(none, none)).first().score == 0.5
 
 
 def test_pipeline(spark):
@@ -235,5 +334,5 @@ def test_pipeline(spark):
     assert n[0] > n[1] > n[2] >= n[3] and n[4] == n[5] > 0
     rows = sorted(docs.collect(), key=lambda r: r.start)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
-    order = [r.doc_id for r in p.place(before).orderBy("_place").collect()]
+    order = [r.doc_id for r in p.place(before).orderBy("place").collect()]
     assert [r.doc_id for r in rows] == order
