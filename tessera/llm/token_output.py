@@ -2,35 +2,47 @@
 
 Format (a folder; Parquet carries the rows, so that any store Spark reaches will do):
   ranks/   id, n, rank    - every id that occurs, by falling count, ties by id; rank 0 is the most frequent
-  blocks/  part, block, doc_ids, lengths, n_ids, control, data - documents in ascending order by (part, block)
+  blocks/  part, block, doc_ids, lengths, n_ids, control, data - documents in ascending order by (part, block); block is
+           the place of its first row in the part's run
   index/   part, block, start - ids in all blocks before
 A block codes the ranks of its ids: two control bits an id give 1 to 4 data bytes, four ids a control byte, low bits first,
 data little-endian. Decoding looks the four lengths of a control byte up in a table and gathers the data bytes with numpy.
 
-Encoding keeps the ids of each white-space-separated chunk of lower-cased text: this vocabulary's pre-tokeniser drops white
-space and never joins across it, so a text's ids are its chunks' ids in a row. Texts that hold a special token's string
-are encoded in one piece.
+Encoding keeps the ids of each word between white space of lower-cased text, if the tokenizer file says that its steps
+allow that: white space is dropped and never joined across, and case is folded. So a text's ids are its words' ids in a row, and
+a batch looks up every different word once. Texts that hold a special token's string, and all texts of a file with other
+steps, are encoded in one piece.
 
 Parts are ranges of doc_id from quantiles; ids of each are sorted within the part. Nulls of doc_id come first. Rows of
 equal doc_id stand in the order of their ids. Edge cases: null and empty text give the end id alone; an empty table
-gives an empty folder of blocks and no rows; extra columns are ignored.
+gives an empty folder of blocks and no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import string
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.llm.common import map_batches, release, shared_dir, store, table
+from tessera.llm.common import discard, map_batches, release, shared_dir, store, table
 
-END_ID, CACHE = 1, 1_000_000
+END_ID, CACHE = 1, 600_000
+#: Ids after which a block ends; a longer document is a block by itself. A reader has hundreds of blocks in memory.
+BLOCK_IDS = 32_768
 #: Lengths of the four values of a control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: The steps that let a text be encoded word by word: white space of any kind is one space, case is folded, and pre-tokens are
+#: runs of letters, digits or marks, or a clitic; what is no pre-token, white space, is removed.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -39,9 +51,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def chunks(text: str) -> list[str]:
-    """Split at a subset of the characters that the pre-tokeniser drops."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def by_words(path: str) -> bool:
+    """Whether the file's normaliser and pre-tokeniser are the steps named above."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (made.get("normalizer") or {}).get("normalizers") == NORMALISER and split.get("pattern") == {"Regex": PRE_TOKENS} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
 
 
 def lower(text: str) -> str:
@@ -50,10 +65,8 @@ def lower(text: str) -> str:
 
 
 def encoder(path: str) -> Encoder:
-    """One a worker process, so that its cache lasts from task to task."""
-    import tokenizers
-
-    made = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    """One a worker process, so that its words last from task to task."""
+    made = sys.modules.setdefault("_encoders_of_this_worker", types.ModuleType("_encoders_of_this_worker")).__dict__
     return made.get(path) or made.setdefault(path, Encoder(path))
 
 
@@ -64,44 +77,69 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.by_words = Tokenizer.from_file(path), {}, by_words(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = "<u2" if max(self.tokenizer.get_vocab().values()) < 65536 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Put words and their ids into the table. A word with end marks is the word and the marks, which are pre-tokens of their own."""
+        known, plain, rest, marked = self.words, [], [], []
+        if len(known) > CACHE:
+            known.clear()
+        for w in words:
+            if w.isalpha():
+                (plain if w.isascii() else rest).append(w)
+            else:
+                core = w.rstrip(string.punctuation)
+                (marked if core.isalpha() and core != w else rest).append(w)
+        cores = {w.rstrip(string.punctuation) for w in marked}
+        ends = {w[len(w.rstrip(string.punctuation)) :] for w in marked}
+        new = (cores | ends).difference(known, words)
+        plain += [w for w in new if w.isascii() and w.isalpha()]
+        rest += [w for w in new if not (w.isascii() and w.isalpha())]
+        # Letters a to z are a pre-token as they are: the library's model takes them without the steps before it.
+        tokenize, packed = self.tokenizer.model.tokenize, self.packed
+        for w in plain:
+            if w.islower():
+                known[w] = packed([t.id for t in tokenize(w)])
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = packed(e.ids)
+        for w in marked:
+            core = w.rstrip(string.punctuation)
+            known[w] = known[core] + known[w[len(core) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, in `width`."""
-        cache, chunked = self.cache, []
-        if len(cache) > CACHE:
-            cache.clear()
+        if not self.by_words:
+            return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        split: list[list[str] | None] = []
         for t in texts:
-            low = lower(t or "")
-            special = any(s in t or s in low for s in self.special) if t else False
-            chunked.append(None if special else chunks(low) if t else [])
-        # A word with end marks is the word and the marks, which are pre-tokens of their own.
-        split = {}
-        for c in set().union(*[x for x in chunked if x]).difference(cache):
-            core = c.rstrip(string.punctuation)
-            split[c] = (core, c[len(core) :]) if core and core != c and core.isalpha() else (c,)
-        new = {p for ps in split.values() for p in ps}.difference(cache)
-        # Letters a to z are a pre-token as they are: the library's model takes them without the steps before it.
-        model, rest = self.tokenizer.model, []
-        for p in new:
-            if p.isascii() and p.isalpha() and p.islower():
-                cache[p] = self.packed([t.id for t in model.tokenize(p)])
+            low = lower(t) if t else ""
+            if low and any(s in t or s in low for s in self.special):
+                split.append(None)
+            elif any(c in low for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the pre-tokeniser
+                split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[p] = self.packed(e.ids)
-        for c, ps in split.items():
-            if len(ps) == 2:
-                cache[c] = cache[ps[0]] + cache[ps[1]]
-        return [self.packed(self.whole(t)) if x is None else b"".join(map(cache.__getitem__, x)) for t, x in zip(texts, chunked, strict=True)]
+                split.append(low.split())
+        new = set().union(*[x for x in split if x]).difference(self.words)
+        if new:
+            if len(self.words) > CACHE:
+                new = set().union(*[x for x in split if x])
+            self.learn(new)
+        known = self.words.__getitem__
+        return [self.packed(self.whole(t)) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -125,46 +163,48 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, keep: list[str]) -> DataFrame:
-    """docs' columns `keep` with n_tokens and ids, 16 bits each if the whole vocabulary fits, else 32, after a byte that gives their size."""
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, order: str, bounds: list[float]) -> DataFrame:
+    """order_by, doc_id, part (the range of the order among bounds), n_tokens and ids: 16 bits each if the whole vocabulary fits,
+    else 32, after a byte that gives their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        ends = np.array(bounds)
         for b in batches:
             size = int(enc.width[-1])
-            end = np.array([end_id], enc.width).tobytes()
-            raw = [bytes([size]) + x + end for x in enc.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=[*keep, "n_tokens", "ids"])
+            first, end = bytes([size]), np.array([end_id], enc.width).tobytes()
+            raw = [first + x + end for x in enc.encode(b.column("text").to_pylist())]
+            place = b.column("order_by")
+            part = np.searchsorted(ends, place.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(float), "right")
+            yield pa.RecordBatch.from_arrays([place, b.column("doc_id"), pa.array(part.astype(np.int32)), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["order_by", "doc_id", "part", "n_tokens", "ids"])
 
-    fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, fields + "n_tokens long, ids binary")
+    rows = docs.select(F.col(order).cast("long").alias("order_by"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return map_batches(rows, run, "order_by long, doc_id long, part int, n_tokens long, ids binary")
 
 
 def ids_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(0, np.int64)
     for b in batches:
-        for raw in b.column("ids").to_pylist():
-            got = np.bincount(ids_of(raw), minlength=len(n))
+        rows = [ids_of(raw) for raw in b.column("ids").to_pylist()]
+        if rows:
+            got = np.bincount(np.concatenate(rows), minlength=len(n))
             got[: len(n)] += n
             n = got
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["id", "n"])
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, order: str = "doc_id", text_bytes: int = 24 << 20) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, order: str = "doc_id") -> None:
     """Encode docs and write the format at path, documents in ascending `order` (a long column)."""
     spark = docs.sparkSession
     parts = max(1, docs.select("text").rdd.getNumPartitions())
     bounds = sorted(set(docs.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x <= F.col(order).cast("double"))), F.lit(0)) if bounds else F.lit(0)
-    keep = list(dict.fromkeys([order, "doc_id"]))
-    tokens = tokenise(docs, tokenizer or default_tokenizer(), end_id, keep)
-    part = F.when(F.col(order).isNull(), 0).otherwise(part).cast("int")
-    rows = store(tokens.withColumn("part", part).repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col(order).asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "ids"))
+    tokens = tokenise(docs, tokenizer or default_tokenizer(), end_id, order, bounds)
+    rows = store(tokens.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("order_by").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "ids"))
     release(spark)
     ranks = map_batches(rows.select("ids"), _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     spark.createDataFrame([(int(r.id), int(r.n), i) for i, r in enumerate(ranks)], "id long, n long, rank long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
@@ -175,22 +215,27 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for b in batches:
-            at = b.column("part").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+            at, place = (b.column(k).to_numpy(zero_copy_only=False) for k in ("part", "place"))
+            before = np.cumsum(b.column("n_tokens").to_numpy()) // BLOCK_IDS
+            # A block also ends where the part does, and where the rows of this batch do not follow each other.
+            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(place) != 1) | (np.diff(before) != 0)) + 1).tolist(), len(at)]
             out = []
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
                 ids = [ids_of(v) for v in b.column("ids").slice(x, y - x).to_pylist()]
                 ranked = rank[np.concatenate(ids)]
-                out.append((int(at[x]), b.column("doc_id").slice(x, y - x).to_pylist(), [len(v) for v in ids], len(ranked), *pack(ranked)))
-            types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
-            names = ["part", "doc_ids", "lengths", "n_ids", "control", "data"]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
-
-    # A part is one file, in order. A file read in several splits keeps its order in the row number.
-    files = map_batches(rows.select("part", "doc_id", "ids"), encode, "part int, doc_ids array<long>, lengths array<int>, n_ids long, control binary, data binary")
-    files.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+                out.append((int(at[x]), int(place[x]), b.column("doc_id").slice(x, y - x).to_pylist(), [len(v) for v in ids], len(ranked), *pack(ranked)))
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+            names = ["part", "block", "doc_ids", "lengths", "n_ids", "control", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
+
+    # A part is one sorted run of rows of one task. A row's number in what the task wrote is its place, so blocks keep their order
+    # however the files are split for reading.
+    place = F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
+    files = map_batches(rows.select("part", "doc_id", "n_tokens", "ids", place.alias("place")), encode, "part int, block long, doc_ids array<long>, lengths array<int>, n_ids long, control binary, data binary")
+    files.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    discard(rows)
     sizes = spark.read.parquet(f"{path}/blocks").select("part", "block", "n_ids")
     totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -205,19 +250,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            for r in b.to_pylist():
-                ids = order[unpack(r["control"], r["data"], r["n_ids"])].astype("<u4")
-                size = np.array(r["lengths"], np.int64)
+            lists = {k: b.column(k) for k in ("doc_ids", "lengths")}
+            for i in range(b.num_rows):
+                start, n, control, data = (b.column(k)[i].as_py() for k in ("start", "n_ids", "control", "data"))
+                ids = memoryview(order[unpack(control, data, n)].astype("<u4").tobytes())
+                size = lists["lengths"][i].values.to_numpy().astype(np.int64)
                 at = np.cumsum(size) - size
-                raw = [ids[x : x + n].tobytes() for x, n in zip(at, size, strict=True)]
+                raw = [ids[4 * x : 4 * (x + m)] for x, m in zip(at.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(at + r["start"]), pa.array(size), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
+                    [lists["doc_ids"][i].values, pa.array(at + start), pa.array(size), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index").select("block", "start"), "block")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds up to 512 documents
-    return blocks.select("start", "doc_ids", "lengths", "n_ids", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["part", "block"])
+    return map_batches(blocks.select("start", "doc_ids", "lengths", "n_ids", "control", "data"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
