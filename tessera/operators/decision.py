@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import folded, percent_text, quotes, urls
@@ -107,3 +109,41 @@ def distinct_wordings(rows: DataFrame, by: str, text: str, newest: str) -> DataF
     """T4: the newest row of each wording, white space and case aside."""
     w = Window.partitionBy(by, F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))).orderBy(F.desc(newest))
     return rows.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")
+
+
+def holding(docs: DataFrame, quotes: DataFrame, key: str, item: str, text: str = "text", block: int = 32 << 20) -> DataFrame:
+    """F12 over tables: (key, item) where a document holds a quote (item, quote) letter for letter. One automaton of all quotes reads
+    each document once; quotes beyond `block` bytes go into further automata, each with a pass of its own."""
+    import ahocorasick
+
+    spark, kind = docs.sparkSession, quotes.schema[item].dataType.simpleString()
+
+    def scan(owners: dict[str, list]) -> DataFrame:
+        tree = ahocorasick.Automaton()
+        for q, ids in owners.items():
+            tree.add_word(q, tuple(ids))
+        tree.make_automaton()
+        shared = spark.sparkContext.broadcast(tree)  # bounded by block
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, found = [], []
+                for i, t in enumerate(b.column(text).to_pylist()):
+                    hits = {x for _, ids in shared.value.iter(t or "") for x in ids}
+                    at += [i] * len(hits)
+                    found += sorted(hits)
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(found, quoted)], names=[key, item])
+
+        return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {kind}")
+
+    quoted = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    out, owners, size = None, {}, 0
+    for q, x in quotes.select("quote", item).filter("quote != ''").toLocalIterator():
+        if size > block:
+            out = scan(owners) if out is None else out.unionByName(scan(owners))
+            owners, size = {}, 0
+        owners.setdefault(q, []).append(x)
+        size += len(q)
+    if owners:
+        out = scan(owners) if out is None else out.unionByName(scan(owners))
+    return out if out is not None else docs.join(quotes, F.lit(False)).select(key, item)

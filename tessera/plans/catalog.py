@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking, curation, decision, facts, lexical, trail, vectors
+from tessera.operators import acquisition, chunking, curation, decision, evaluation, facts, lexical, retrieval, selection, trail, vectors
 from tessera.sources import html
 
 QUERIES: dict = {}
@@ -64,17 +64,9 @@ def label_centroids(spark, d):
     return vectors.centroids(t(spark, d, "embeddings"), "label").select("label", "dim", F.round("value", 5).alias("value"))
 
 
-@query(f"WITH {SEARCH}, b AS (SELECT q, max(cosine) AS c FROM hits GROUP BY q) SELECT round(quantile_cont(c, 0.5), 4) AS p50, round(quantile_cont(c, 0.9), 4) AS p90, round(max(c), 4) AS top FROM b")
-def nn_similarity_percentiles(spark, d):
-    """Percentiles of the similarity to the nearest neighbour over every twentieth vector only, as its SQL has them. A17 over all
-    vectors is nn_similarity_percentiles_all."""
-    best = _searched(spark, d, 1)[0].groupBy("q").agg(F.max("cosine").alias("c"))
-    return best.agg(F.round(F.percentile("c", 0.5), 4).alias("p50"), F.round(F.percentile("c", 0.9), 4).alias("p90"), F.round(F.max("c"), 4).alias("top"))
-
-
 @query(f"""WITH {UNIT}, b AS (SELECT a.vec_id, max(list_dot_product(a.v, b.v)) AS c FROM unit a JOIN unit b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)
 SELECT round(quantile_cont(c, 0.5), 4) AS p50, round(quantile_cont(c, 0.9), 4) AS p90, round(max(c), 4) AS top FROM b""")
-def nn_similarity_percentiles_all(spark, d):
+def nn_similarity_percentiles(spark, d):
     """Percentiles of the similarity to the nearest neighbour, over all vectors."""
     c = vectors.nearest(t(spark, d, "embeddings").withColumnRenamed("vec_id", "id"))
     return c.agg(F.round(F.percentile("cosine", 0.5), 4).alias("p50"), F.round(F.percentile("cosine", 0.9), 4).alias("p90"), F.round(F.max("cosine"), 4).alias("top"))
@@ -188,7 +180,7 @@ def sliding_word_chunks(spark, d):
 @query(r"WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents) SELECT doc_id, len(list_filter(s, lambda x: x <> ''))::INT AS n, md5(array_to_string(list_filter(s, lambda x: x <> ''), '|')) AS digest FROM s")
 def sentence_split(spark, d):
     """sentences, without rejoining, as these tables have no abbreviations."""
-    return t(spark, d, "documents").select("doc_id", tx.sentences(F.coalesce("text", F.lit("")), ("\x00",)).alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.concat_ws("|", "s")).alias("digest"))
+    return t(spark, d, "documents").select("doc_id", tx.sentences(F.coalesce("text", F.lit("")), ()).alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.concat_ws("|", "s")).alias("digest"))
 
 
 @query()
@@ -260,28 +252,24 @@ def topics_extract(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", tx.topics(F.coalesce("text", F.lit("")), TOPICS)).alias("topics"))
 
 
-TICKETS = (
-    ("How do I change my delivery address?", "question"),
-    ("Our late shipment rate is 4.2% and cancellations are 1.9 percent.", "problem"),
-    ("Can you tell me why on-time delivery fell to 88%?", "question"),
-    ("My account was suspended. Can I appeal?", "problem"),
-    ("", "problem"),
-)
-ASKING, REPORTING = ["how (?:do|can) (?:i|we)", "can (?:you|i)", "what is"], ["was suspended", "has been", "not working"]
-_TICKETS = ", ".join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(TICKETS))
+ASKING, REPORTING = ["und", "the", "que"], ["ist", "is", "est"]
+EDGE = "[^a-zA-Z0-9_À-ÿß]"
 
 
-@query(f"WITH t(id, text, want) AS (VALUES {_TICKETS}) SELECT id::BIGINT AS id, want AS intent FROM t")
+def _any(words: list[str]) -> str:
+    return f"regexp_matches(text, '(?i)(^|{EDGE})({'|'.join(words)})($|{EDGE})')"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_any(ASKING)} AND NOT {_any(REPORTING)} THEN 'question' ELSE 'problem' END AS intent FROM conversations")
 def intent_classify(spark, d):
-    """question or problem."""
-    return spark.createDataFrame([(i, x) for i, (x, _) in enumerate(TICKETS)], "id long, text string").select("id", tx.intent(F.col("text"), ASKING, REPORTING).alias("intent"))
+    """question or problem, of every turn, by words that occur in them; a test has sentences."""
+    return t(spark, d, "conversations").select("conv_id", "turn", tx.intent(F.coalesce("text", F.lit("")), ASKING, REPORTING).alias("intent"))
 
 
-@query(f"WITH t(id, text, want) AS (VALUES {_TICKETS}), m AS (SELECT id, unnest(regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1)) AS v FROM t) SELECT id::BIGINT AS id, v::DOUBLE AS value FROM m")
-def metric_readings(spark, d):
-    """Percentages in tickets, as its SQL has them, without the metric that each belongs to. F10 is metric_mentions."""
-    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(TICKETS)], "id long, text string")
-    return rows.select("id", F.explode(tx.percents(F.col("text"))).alias("value"))
+@query("SELECT doc_id, value::DOUBLE AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1)) AS value FROM documents)")
+def percent_readings(spark, d):
+    """The percentages of every document. F10, which gives each its metric, is metric_mentions."""
+    return t(spark, d, "documents").select("doc_id", F.explode(tx.percents(F.col("text"))).alias("value"))
 
 
 @query()
@@ -317,14 +305,14 @@ def standing_flags(spark, d):
 
 @query("SELECT doc_id, item_id, true AS ok FROM documents d JOIN benchmark b ON length(b.text) >= 12 AND contains(d.text, b.text)")
 def grounding_check(spark, d):
-    """benchmark items that a document holds word for word. Items are few; each is checked in every document by a broadcast."""
+    """benchmark items that a document holds word for word, by one automaton of the items."""
     b = t(spark, d, "benchmark").filter(F.length("text") >= 12).select("item_id", F.col("text").alias("quote"))
-    return t(spark, d, "documents").join(b, F.contains("text", "quote")).select("doc_id", "item_id", F.lit(True).alias("ok"))
+    return decision.holding(t(spark, d, "documents"), b, "doc_id", "item_id").select("doc_id", "item_id", F.lit(True).alias("ok"))
 
 
 def gate_states(spark: SparkSession) -> DataFrame:
     """20 topics (none and 19) x 3 confidences x 16 flags: a fixed space of 960 states."""
-    topics = ["", *(x for ts in decision.GUARDED.values() for x in ts), "other"]
+    topics = ["", *(x for ts in decision.GUARDED.values() for x in ts)]
     out = spark.createDataFrame([(x,) for x in topics], "topic string").withColumn("c", F.explode(F.array(*map(F.lit, ("0.7199", "0.7200", "0.9500")))))
     for name in ("has_citation", "quotes_policy", "conflict", "breach"):
         out = out.withColumn(name, F.explode(F.array(F.lit(True), F.lit(False))))
@@ -334,7 +322,7 @@ def gate_states(spark: SparkSession) -> DataFrame:
 _TOPIC_RULES = ", ".join(f"('{x}', '{r}')" for r, ts in decision.GUARDED.items() for x in ts)
 
 
-@query(f"""WITH k(topic, rule) AS (VALUES ('', NULL), ('other', NULL), {_TOPIC_RULES}), c(confidence) AS (VALUES (0.7199::DECIMAL(5,4)), (0.72), (0.95)), b(x) AS (VALUES (true), (false)),
+@query(f"""WITH k(topic, rule) AS (VALUES ('', NULL), {_TOPIC_RULES}), c(confidence) AS (VALUES (0.7199::DECIMAL(5,4)), (0.72), (0.95)), b(x) AS (VALUES (true), (false)),
 s AS (SELECT topic, rule, confidence, b1.x AS cit, b2.x AS quo, b3.x AS con, b4.x AS bre FROM k, c, b b1, b b2, b b3, b b4),
 f AS (SELECT *, list_filter([rule, CASE WHEN confidence < 0.72 OR NOT cit OR NOT quo THEN 'F6' END, CASE WHEN con THEN 'F7' END, CASE WHEN bre THEN 'F8' END], lambda x: x IS NOT NULL) AS l FROM s)
 SELECT topic, confidence::DOUBLE AS confidence, cit AS has_citation, quo AS quotes_policy, con AS conflict, bre AS breach, array_to_string(l, ',') AS blocked_by, CASE WHEN len(l) = 0 THEN 'AUTO_SEND' ELSE 'ESCALATE' END AS decision FROM f""")
@@ -395,3 +383,89 @@ def eval_summary(spark, d):
 def exact_fingerprint_dupes(spark, d):
     """Fingerprints that several documents share."""
     return t(spark, d, "documents").filter("text is not null").groupBy(F.substring(F.sha2("text", 256), 1, 32).alias("fingerprint")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM documents")
+def content_manifest(spark, d):
+    """Fingerprint and size of every content."""
+    return acquisition.manifest(t(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), c AS (SELECT doc_id, unnest(generate_series(0, greatest(ceil((len(w) - 220) / 180.0), 0)::INT)) AS chunk, w FROM w WHERE len(w) > 0),
+p AS (SELECT doc_id, chunk, len(w[chunk * 180 + 1:chunk * 180 + 220]) AS n FROM c) SELECT doc_id, chunk::INT AS chunk, row_number() OVER (ORDER BY doc_id, chunk) - 1 AS number FROM p WHERE n >= 25""")
+def chunk_numbers(spark, d):
+    """Chunks numbered on over all documents."""
+    return chunking.number_all(curation.windows(t(spark, d, "documents"), "doc_id"), "doc_id", 25).select("doc_id", "chunk", F.col("number").cast("long").alias("number"))
+
+
+@query(f"""WITH {UNIT}, s AS (SELECT c.label AS doc, c.vec_id AS chunk, q.vec_id AS q, list_dot_product(c.v, q.v) AS cosine FROM unit c JOIN unit q ON c.vec_id <> q.vec_id AND q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY cosine DESC, chunk, q) AS i FROM s) SELECT doc, chunk, q, round(cosine, 4) AS cosine, CASE WHEN cosine < 0.45 THEN 'not_relevant' END AS reason FROM r WHERE i = 1""")
+def relevance_floor(spark, d):
+    """A1, P5: the best passage and query of each document (here a label's vectors), and whether it reaches the floor."""
+    e = t(spark, d, "embeddings")
+    s = vectors.similar(e.withColumnRenamed("vec_id", "id"), e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q"), "embedding"), None)
+    s = s.join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("doc")), "id").select("doc", F.col("id").alias("chunk"), "q", "cosine")
+    return selection.relevant(selection.best_chunk(s, "doc", "chunk", "q"), 0.45).select("doc", "chunk", "q", F.round("cosine", 4).alias("cosine"), "reason")
+
+
+@query(f"""WITH {SEARCH} SELECT q, id, rank::INT AS rank, round(cosine, 4) AS cosine FROM hits WHERE rank <= 3""")
+def query_coverage(spark, d):
+    """The three best passages of each query."""
+    return selection.covering(_searched(spark, d)[0].drop("rank"), "q", "id").select("q", "id", "rank", F.round("cosine", 4).alias("cosine"))
+
+
+@query(f"WITH {SEARCH} SELECT q, round(max(cosine), 4) AS best FROM hits GROUP BY q ORDER BY max(cosine), q LIMIT 8")
+def weakest_queries(spark, d):
+    """The eight queries of least best similarity."""
+    best = _searched(spark, d, 1)[0].groupBy("q").agg(F.max("cosine").alias("best"))
+    return evaluation.weakest(best, "q", "best").select("q", F.round("best", 4).alias("best"))
+
+
+RETRY = """again AS (SELECT a.vec_id AS q, list_transform(list_zip(a.v, b.v), lambda x: x[1] + x[2]) AS w FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
+normed AS (SELECT q, list_transform(w, lambda x: x / (sqrt(list_dot_product(w, w)) + 1e-9)) AS w FROM again),
+second AS (SELECT * FROM (SELECT q, b.vec_id AS id, list_dot_product(w, b.v) AS cosine, row_number() OVER (PARTITION BY q ORDER BY round(list_dot_product(w, b.v), 6) DESC, b.vec_id) AS i FROM normed JOIN unit b ON b.vec_id <> q AND b.vec_id <> q + 1) WHERE i <= 5)"""
+
+
+@query(f"""WITH {SEARCH}, {RETRY}, f AS (SELECT q, max(cosine) AS best FROM hits GROUP BY q), s AS (SELECT q, max(cosine) AS best FROM second GROUP BY q),
+k AS (SELECT f.q, f.best < 0.45 AS requeried, f.best < 0.45 AND coalesce(s.best > f.best, false) AS kept FROM f LEFT JOIN s USING (q))
+SELECT q, id, round(cosine, 4) AS cosine, requeried, 'original' AS kept FROM hits JOIN k USING (q) WHERE NOT k.kept UNION ALL SELECT q, id, round(cosine, 4), requeried, 'retry' FROM second JOIN k USING (q) WHERE k.kept""")
+def requery_kept(spark, d):
+    """Queries under the floor asked again, here with the sum of their vector and the next, and kept if that is better."""
+    hits, e = _searched(spark, d)
+
+    def retry(weak: DataFrame) -> DataFrame:
+        own = e.join(weak, F.col("vec_id") == F.col("q"), "left_semi").select(F.col("vec_id").alias("q"), "embedding")
+        two = own.join(e.select((F.col("vec_id") - 1).alias("q"), F.col("embedding").alias("next")), "q")
+        asked = two.select("q", F.zip_with(vectors.normalised(F.col("embedding")), vectors.normalised(F.col("next")), lambda x, y: x + y).alias("embedding"))
+        found = vectors.similar(e.withColumnRenamed("vec_id", "id"), asked, 6)
+        return lexical.top(found.drop("rank").filter("id != q + 1"), "q", "id", 5, "cosine").select("q", "id", "cosine")
+
+    return retrieval.requery(hits.select("q", "id", "cosine"), retry, "q", 0.45).select("q", "id", F.round("cosine", 4).alias("cosine"), "requeried", "kept")
+
+
+@query("""WITH r AS (SELECT event_id, strftime(ts, '%Y-%m') AS month, event_type, list_filter([CASE WHEN value <= 3 THEN 'no page matched closely enough' END, CASE WHEN user_id % 5 = 0 THEN 'nothing retrieved carried a source link' END,
+CASE WHEN event_id % 7 = 0 THEN 'the draft could not be tied to the passage' END], lambda x: x IS NOT NULL) AS l FROM events) SELECT event_id, month, event_type AS subject, len(l) > 0 AS gap, array_to_string(l, ';') AS reasons FROM r""")
+def gap_classify(spark, d):
+    """Which runs are gaps of knowledge, and why. Events stand for runs."""
+    e = t(spark, d, "events").select("event_id", "ts", F.col("event_type").alias("category"), (F.col("value") > 3).alias("confident"), (F.col("user_id") % 5 != 0).alias("has_citation"), (F.col("event_id") % 7 != 0).alias("quotes_policy"))
+    return evaluation.coverage_row(e, F.array().cast("array<string>"), trail.month(F.col("ts"))).select("event_id", "month", "subject", "gap", F.concat_ws(";", "reasons").alias("reasons"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+def queue_listing(spark, d):
+    """The last state of each ticket, newest first. Events of a user stand for a ticket's rows."""
+    e = t(spark, d, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("status"), F.lit("META").alias("sk"))
+    return evaluation.queue(e, "user_id", "ts", "event_id").select("user_id", "event_id", "status")
+
+
+@query(f"""WITH k(topic, rule) AS (VALUES ('', NULL), {_TOPIC_RULES}), c(confidence) AS (VALUES (0.7199::DECIMAL(5,4)), (0.72), (0.95)), b(x) AS (VALUES (true), (false)),
+s AS (SELECT rule, confidence, b1.x AS cit, b2.x AS quo, b3.x AS con, b4.x AS bre FROM k, c, b b1, b b2, b b3, b b4),
+f AS (SELECT unnest(list_filter([rule, CASE WHEN confidence < 0.72 OR NOT cit OR NOT quo THEN 'F6' END, CASE WHEN con THEN 'F7' END, CASE WHEN bre THEN 'F8' END], lambda x: x IS NOT NULL)) AS rule FROM s)
+SELECT rule, count(*) AS n, CASE WHEN rule IN ('F6', 'F7') THEN 'why ' || rule ELSE '' END AS reason FROM f GROUP BY rule""")
+def gate_provenance(spark, d):
+    """How often each rule blocks over all states, with why it exists."""
+    from tessera.operators import policies
+
+    known = spark.createDataFrame([("F6", "forbid", "why F6", "", "", "", "", ""), ("F7", "forbid", "why F7", "", "", "", "", ""), ("P1", "permit", "x", "", "", "", "", "")], ", ".join(f"{c} string" for c in ("rule", "effect", *policies.NOTES)))
+    states = decision.decide(gate_states(spark)).withColumn("id", F.monotonically_increasing_id())
+    return policies.provenance(states, "id", known).groupBy("rule", "reason").agg(F.count("*").alias("n")).select("rule", "n", "reason")

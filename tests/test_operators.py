@@ -118,9 +118,9 @@ def test_readings_name_their_metric(spark):
 
 def test_gate_properties(spark):
     states = decision.decide(catalog.gate_states(spark)).collect()
-    assert len(states) == 20 * 3 * 16 + 16 * 3
+    assert len(states) == 20 * 3 * 16
     for r in states:
-        free = r.topic in ("", "other") and r.confidence >= decision.FLOOR and r.has_citation and r.quotes_policy and not r.conflict and not r.breach
+        free = r.topic == "" and r.confidence >= decision.FLOOR and r.has_citation and r.quotes_policy and not r.conflict and not r.breach
         assert (r.decision == "AUTO_SEND") == free
     base = decision.Policies()
     changed = base.disable("F2").with_floor("0.96")
