@@ -266,10 +266,11 @@ def intent_classify(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", tx.intent(F.coalesce("text", F.lit("")), ASKING, REPORTING).alias("intent"))
 
 
-@query("SELECT doc_id, value::DOUBLE AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1)) AS value FROM documents)")
+@query("SELECT doc_id, len(v)::INT AS n, round(coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)), 0), 6) AS total FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1) AS v FROM documents)")
 def percent_readings(spark, d):
-    """The percentages of every document. F10, which gives each its metric, is metric_mentions."""
-    return t(spark, d, "documents").select("doc_id", F.explode(tx.percents(F.col("text"))).alias("value"))
+    """The number and the sum of the percentages of every document. F10, which gives each its metric, is metric_mentions."""
+    v = t(spark, d, "documents").select("doc_id", tx.percents(F.coalesce("text", F.lit(""))).alias("v"))
+    return v.select("doc_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query()
