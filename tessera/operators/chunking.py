@@ -90,33 +90,50 @@ def _pack(units: list[tuple[tuple, list[str]]], target: int, least: int, ceiling
     return out
 
 
-def passages(docs: DataFrame, key: str, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE, sections: str | None = None, promo: tuple[str, ...] = ()) -> DataFrame:
-    """(key, chunk, n_words, heading_path, section_id, text). Sentences of more than `target` words are cut into pieces of `target`;
-    sentences and pieces fill passages up to `target` words, with the last of one repeated in the next under the same heading; another
-    heading begins a passage once the one before has `least` words; a passage keeps its first sentence's heading. Then every passage
-    under `least` words joins the one before if both have at most `ceiling`. `sections` names a column of structs (heading_path,
-    section_id, text); without it the column text is one section. One pass over each document's words, in Arrow batches: documents never
-    leave their row, and the work grows with their length."""
+def _passages(docs: DataFrame, key: str, target: int, least: int, ceiling: int, sections: str | None, promo: tuple[str, ...], fewest: int) -> DataFrame:
+    """passages() of at least `fewest` words, with number, their place among these."""
     drop = re.compile("|".join(promo), re.IGNORECASE) if promo else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, parts in enumerate(b.column("parts").to_pylist()):
                 units = [((x["heading_path"], x["section_id"]), w[j : j + target]) for x in parts or () for s in _sentences(x["text"] or "", drop) for w in [s.split(" ")] for j in range(0, len(w), target)]
-                made = _pack(units, target, least, ceiling)
+                made = [(c, h, w) for c, (h, w) in enumerate(_pack(units, target, least, ceiling)) if len(w) >= fewest]
                 if made:
-                    cols = [pa.array(range(len(made)), pa.int32()), pa.array([len(w) for _, w in made], pa.int32()), pa.array([h[0] for h, _ in made], pa.string()), pa.array([h[1] for h, _ in made], pa.string()), pa.array([" ".join(w) for _, w in made], pa.string())]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(made), pa.int64())), *cols], names=[key, "chunk", "n_words", "heading_path", "section_id", "text"])
+                    cols = [pa.array([c for c, _, _ in made], pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array([len(w) for _, _, w in made], pa.int32()), pa.array([h[0] for _, h, _ in made], pa.string()), pa.array([h[1] for _, h, _ in made], pa.string()), pa.array([" ".join(w) for _, _, w in made], pa.string())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(made), pa.int64())), *cols], names=[key, "chunk", "number", "n_words", "heading_path", "section_id", "text"])
 
     whole = F.array(F.struct(F.lit(None).cast("string").alias("heading_path"), F.lit(None).cast("string").alias("section_id"), F.col("text").alias("text")))
     rows = docs.select(key, (F.col(sections) if sections else whole).alias("parts"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk int, n_words int, heading_path string, section_id string, text string")
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk int, number int, n_words int, heading_path string, section_id string, text string")
+
+
+def passages(docs: DataFrame, key: str, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE, sections: str | None = None, promo: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk, n_words, heading_path, section_id, text). Sentences of more than `target` words are cut into pieces of `target`;
+    sentences and pieces fill passages up to `target` words, with the last of one repeated in the next under the same heading; another
+    heading begins a passage once the one before has `least` words; a passage keeps its first sentence's heading. Then every passage
+    under `least` words joins the one before if both have at most `ceiling`. `sections` names a column of structs (heading_path,
+    section_id, text); without it the column text is one section. One pass over each document's words, in Arrow batches: documents never
+    leave their row, and the work grows with their length."""
+    return _passages(docs, key, target, least, ceiling, sections, promo, 0).drop("number")
+
+
+def _chunk_id(key: str, n: Column) -> Column:
+    """key#n, n in four digits or as many as it has."""
+    digits = n.cast("string")
+    return F.concat(F.col(key).cast("string"), F.lit("#"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
+
+
+def numbered_passages(docs: DataFrame, key: str, fewest: int = FEWEST, target: int = TARGET, least: int = LEAST, ceiling: int = MERGE, sections: str | None = None, promo: tuple[str, ...] = ()) -> DataFrame:
+    """number() of passages(), numbered as they are packed: nothing is shuffled. Rows that repeat a key are numbered each by
+    itself, so their ids repeat."""
+    return _passages(docs, key, target, least, ceiling, sections, promo, fewest).withColumn("chunk_id", _chunk_id(key, F.col("number"))).drop("number")
 
 
 def number(chunks: DataFrame, key: str, fewest: int = FEWEST) -> DataFrame:
     """Chunks of at least `fewest` words with chunk_id, doc#number within the document."""
     w = Window.partitionBy(key).orderBy("chunk")
-    return chunks.filter(F.col("n_words") >= fewest).withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("#"), F.lpad((F.row_number().over(w) - 1).cast("string"), 4, "0")))
+    return chunks.filter(F.col("n_words") >= fewest).withColumn("chunk_id", _chunk_id(key, F.row_number().over(w) - 1))
 
 
 def headings(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -184,7 +201,7 @@ def number_all(chunks: DataFrame, key: str, fewest: int = FEWEST) -> DataFrame:
     blocks = placed.groupBy("block").agg(F.sum("n").alias("n"), F.min(key).alias("first"))
     blocks = blocks.select(F.col("block").alias("b"), F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
     base = placed.withColumn("within", before).join(F.broadcast(blocks), F.col("block") == F.col("b")).select(key, (F.col("base") + F.col("within")).alias("start"))
-    return some.join(base, key).withColumn("number", F.col("start") + F.col("number")).withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("#"), F.when(F.col("number") < 10_000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string")))).drop("start")
+    return some.join(base, key).withColumn("number", F.col("start") + F.col("number")).withColumn("chunk_id", _chunk_id(key, F.col("number"))).drop("start")
 
 
 def word_stats(chunks: DataFrame) -> DataFrame:

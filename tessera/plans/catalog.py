@@ -186,8 +186,7 @@ def sentence_split(spark, d):
 @query()
 def pack_sentences(spark, d):
     """Passages of sentences with their ids. Folds; a test has the loop."""
-    c = chunking.number(chunking.passages(t(spark, d, "documents"), "doc_id"), "doc_id")
-    return c.select("doc_id", "chunk", "chunk_id", "n_words", F.md5("text").alias("digest"))
+    return chunking.numbered_passages(t(spark, d, "documents"), "doc_id").select("doc_id", "chunk", "chunk_id", "n_words", F.md5("text").alias("digest"))
 
 
 @query("""WITH d AS (SELECT doc_id, source, n_chars, coalesce(quality, 0) AS s, coalesce(toxic, 0) = 1 AND n_chars > 3000 AS p FROM documents LEFT JOIN labels USING (doc_id)),

@@ -57,6 +57,19 @@ def test_packing_equals_loop(spark):
     assert sorted((r.k, r.chunk, r.n_words) for r in got) == want
 
 
+def test_numbers_need_no_window_and_grow(spark):
+    """Numbered as packed or by a window: the same ids; a document of over 10,000 passages has as many ids."""
+    rnd = random.Random(4)
+    texts = [" ".join(" ".join("w" * rnd.randint(1, 5) for _ in range(rnd.choice((3, 12, 60, 149, 151)))) + "." for _ in range(rnd.randint(0, 9))) for _ in range(30)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", None]), (None, "one two.")], "k int, text string")
+    for fewest in (0, 20, 130):
+        packed, windowed = chunking.numbered_passages(docs, "k", fewest), chunking.number(chunking.passages(docs, "k"), "k", fewest)
+        assert sorted(map(str, packed.collect())) == sorted(map(str, windowed.select(packed.columns).collect()))
+    many = spark.range(10_002).select(F.lit(1).alias("k"), F.col("id").alias("chunk"), F.lit(30).alias("n_words"))
+    ids = {r.chunk_id for r in chunking.number(many, "k").collect()}
+    assert len(ids) == 10_002 and {"1#0007", "1#10001"} <= ids
+
+
 def test_passages_equal_reference_rules(spark):
     """A loop of the rules of W8: hard split, fold with one sentence repeated, every short passage merged backwards."""
     rnd = random.Random(3)
