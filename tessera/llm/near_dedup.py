@@ -44,6 +44,8 @@ from tessera.llm.decontaminate import FOLD
 
 WORDS, THRESHOLD, BANDS, ROWS, ESTIMATE = 5, 0.8, 24, 5, 0.65
 SKETCH, DOUBT, BLOCK = 1024, 0.06, 512
+#: Text bytes that are signed at once; the arrays of points take some 40 times as much.
+SIGN_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 END = U(0xFFFFFFFFFFFFFFFF)
@@ -285,7 +287,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_R
     """doc_id, th (hash of the text), node and comp of every row; comp is null where a text has no shingles."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    signed = store(map_batches(texts, _sign, "doc_id long, th long, node binary, bands array<long>, sig binary"))
+    signed = store(map_batches(texts, _sign, "doc_id long, th long, node binary, bands array<long>, sig binary", SIGN_BYTES))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
     nodes = store(nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.llm.common import discard, map_batches, release, shared_dir, store, table
+from tessera.llm.common import HELD, discard, map_batches, release, shared_dir, store, table
 
 END_ID, CACHE = 1, 600_000
 #: Ids after which a block ends; a longer document is a block by itself. A reader has hundreds of blocks in memory.
@@ -66,7 +66,7 @@ def lower(text: str) -> str:
 
 def encoder(path: str) -> Encoder:
     """One a worker process, so that its words last from task to task."""
-    made = sys.modules.setdefault("_encoders_of_this_worker", types.ModuleType("_encoders_of_this_worker")).__dict__
+    made = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__
     return made.get(path) or made.setdefault(path, Encoder(path))
 
 
@@ -179,7 +179,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, order: str, bounds: l
             yield pa.RecordBatch.from_arrays([place, b.column("doc_id"), pa.array(part.astype(np.int32)), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["order_by", "doc_id", "part", "n_tokens", "ids"])
 
     rows = docs.select(F.col(order).cast("long").alias("order_by"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return map_batches(rows, run, "order_by long, doc_id long, part int, n_tokens long, ids binary")
+    return map_batches(rows, run, "order_by long, doc_id long, part int, n_tokens long, ids binary", holds=True)
 
 
 def ids_of(raw: bytes) -> np.ndarray:
@@ -206,7 +206,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     tokens = tokenise(docs, tokenizer or default_tokenizer(), end_id, order, bounds)
     rows = store(tokens.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("order_by").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "ids"))
     release(spark)
-    ranks = map_batches(rows.select("ids"), _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
+    ranks = map_batches(rows.select("ids"), _counts, "id long, n long", holds=True).groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     spark.createDataFrame([(int(r.id), int(r.n), i) for i, r in enumerate(ranks)], "id long, n long, rank long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     rank = np.zeros(max((r.id for r in ranks), default=0) + 1, np.uint32)
     rank[[r.id for r in ranks]] = np.arange(len(ranks))
@@ -233,7 +233,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     # A part is one sorted run of rows of one task. A row's number in what the task wrote is its place, so blocks keep their order
     # however the files are split for reading.
     place = F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).cast("long") * (1 << 40) + F.col("_metadata.row_index")
-    files = map_batches(rows.select("part", "doc_id", "n_tokens", "ids", place.alias("place")), encode, "part int, block long, doc_ids array<long>, lengths array<int>, n_ids long, control binary, data binary")
+    files = map_batches(rows.select("part", "doc_id", "n_tokens", "ids", place.alias("place")), encode, "part int, block long, doc_ids array<long>, lengths array<int>, n_ids long, control binary, data binary", holds=True)
     files.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     discard(rows)
     sizes = spark.read.parquet(f"{path}/blocks").select("part", "block", "n_ids")
@@ -263,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["part", "block"])
-    return map_batches(blocks.select("start", "doc_ids", "lengths", "n_ids", "control", "data"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return map_batches(blocks.select("start", "doc_ids", "lengths", "n_ids", "control", "data"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", holds=True)
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

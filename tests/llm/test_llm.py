@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import sys
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -336,3 +339,21 @@ def test_pipeline(spark):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     order = [r.doc_id for r in p.place(before).orderBy("place").collect()]
     assert [r.doc_id for r in rows] == order
+
+
+def test_batches_from_the_jvm_are_bounded(spark):
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.get_total_buffer_size()])], names=["size"])
+
+    df = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    got = [r["size"] for r in common.map_batches(df, size, "size long").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 1.5 * common.BATCH_BYTES
+
+
+@pytest.mark.parametrize("holds", [False, True])
+def test_stages_give_back_what_a_worker_holds(monkeypatch, holds):
+    monkeypatch.setitem(sys.modules, common.HELD, types.ModuleType(common.HELD))
+    batch = pa.RecordBatch.from_pydict({"x": list(range(5))})
+    seen = [(b.num_rows, common.HELD in sys.modules) for b in common._bounded(lambda bs: bs, 1 << 20, holds)(iter([batch]))]
+    assert seen == [(5, holds)] and (common.HELD in sys.modules) == holds
