@@ -10,8 +10,10 @@ data little-endian. Decoding looks the four lengths of a control byte up in a ta
 
 Encoding keeps the ids of each word between white space of lower-cased text, if the tokenizer file says that its steps
 allow that: white space is dropped and never joined across, and case is folded. So a text's ids are its words' ids in a row, and
-a batch looks up every different word once. Texts that hold a special token's string, and all texts of a file with other
-steps, are encoded in one piece.
+a batch looks up every different word once, without the punctuation at its end, which is a word of its own. Arrow splits texts,
+numbers words and looks them up; Python sees only words that are not in the worker's table. That holds about 40 bytes a word, WORDS
+words and those of one batch at most; beyond that those met in the fewest batches lately go, and are encoded anew if they come again.
+Texts that hold a special token's string, and all texts of a file with other steps, are encoded in one piece.
 
 Parts are ranges of doc_id from quantiles; ids of each are sorted within the part. Nulls of doc_id come first. Rows of
 equal doc_id stand in the order of their ids. Edge cases: null and empty text give the end id alone; an empty table
@@ -21,6 +23,7 @@ gives an empty folder of blocks and no rows; extra columns are ignored, whatever
 from __future__ import annotations
 
 import json
+import re
 import string
 import sys
 import types
@@ -30,11 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.common import HELD, discard, map_batches, release, shared_dir, store, table
 
-END_ID, CACHE = 1, 600_000
+END_ID = 1
+#: Words that a worker's table holds, words that stay when it is full, bytes of a word that is kept.
+WORDS, STAY, WORD_BYTES = 200_000, 130_000, 64
+#: Words whose ids are gathered at once.
+GATHERED = 65_536
 #: Ids after which a block ends; a longer document is a block by itself. A reader has hundreds of blocks in memory.
 BLOCK_IDS = 32_768
 #: Lengths of the four values of a control byte.
@@ -43,6 +51,14 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: runs of letters, digits or marks, or a clitic; what is no pre-token, white space, is removed.
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+#: Byte-level models name the bytes that are no visible Latin-1 character by those from U+0100 on, in order. The line break stays,
+#: as it parts the words here.
+BYTE_NAMES = np.arange(256, dtype="<u2")
+BYTE_NAMES[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = np.arange(0x100, 0x144)
+BYTE_NAMES[10] = 10
+LETTERS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+BEYOND = re.compile("[^\0-\u017f]").search
 
 
 def default_tokenizer() -> str:
@@ -55,8 +71,9 @@ def by_words(path: str) -> bool:
     """Whether the file's normaliser and pre-tokeniser are the steps named above."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
-    split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    return (made.get("normalizer") or {}).get("normalizers") == NORMALISER and split.get("pattern") == {"Regex": PRE_TOKENS} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+    split, *rest = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    by_bytes = len(rest) == 1 and BYTES.items() <= rest[0].items()
+    return by_bytes and (made.get("normalizer") or {}).get("normalizers") == NORMALISER and split.get("pattern") == {"Regex": PRE_TOKENS} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
 
 
 def lower(text: str) -> str:
@@ -77,10 +94,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.by_words = Tokenizer.from_file(path), {}, by_words(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = "<u2" if max(self.tokenizer.get_vocab().values()) < 65536 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
+        # The table: words, how many ids each has, the ids of all in a row, and the batches a word was in, lately.
+        self.words, self.size, self.known, self.hits = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, self.width), np.zeros(0, np.int32)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -91,55 +110,94 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Put words and their ids into the table. A word with end marks is the word and the marks, which are pre-tokens of their own."""
-        known, plain, rest, marked = self.words, [], [], []
-        if len(known) > CACHE:
-            known.clear()
-        for w in words:
-            if w.isalpha():
-                (plain if w.isascii() else rest).append(w)
-            else:
-                core = w.rstrip(string.punctuation)
-                (marked if core.isalpha() and core != w else rest).append(w)
-        cores = {w.rstrip(string.punctuation) for w in marked}
-        ends = {w[len(w.rstrip(string.punctuation)) :] for w in marked}
-        new = (cores | ends).difference(known, words)
-        plain += [w for w in new if w.isascii() and w.isalpha()]
-        rest += [w for w in new if not (w.isascii() and w.isalpha())]
-        # Letters a to z are a pre-token as they are: the library's model takes them without the steps before it.
+    def made(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the table lacks. Lower-case letters up to U+017F are a pre-token as they are: the library's model takes
+        them, by the names of their bytes, without the steps before it."""
+        out, latin, rest = {}, [], []
         tokenize, packed = self.tokenizer.model.tokenize, self.packed
-        for w in plain:
-            if w.islower():
-                known[w] = packed([t.id for t in tokenize(w)])
-            else:
+        for w in words:
+            if not (w.isalpha() and w.islower()):
                 rest.append(w)
+            elif w.isascii():
+                out[w] = packed([t.id for t in tokenize(w)])
+            else:
+                (rest if BEYOND(w) else latin).append(w)
+        if latin:
+            named = BYTE_NAMES[np.frombuffer("\n".join(latin).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
+            for w, name in zip(latin, named, strict=True):
+                out[w] = packed([t.id for t in tokenize(name)])
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[w] = packed(e.ids)
-        for w in marked:
-            core = w.rstrip(string.punctuation)
-            known[w] = known[core] + known[w[len(core) :]]
+            out[w] = packed(e.ids)
+        return [out[w] for w in words]
+
+    def look_up(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, all in a row, and how many each has; the table learns words that it lacks."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        lacks = at < 0
+        self.hits[at[~lacks]] += 1
+        if lacks.any():
+            new = words.filter(pa.array(lacks))
+            raw = self.made(new.to_numpy(zero_copy_only=False).tolist())
+            at[lacks] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, raw), np.int32, len(raw)) // int(self.width[-1])])
+            self.known = np.concatenate([self.known, np.frombuffer(b"".join(raw), self.width)])
+            self.hits = np.concatenate([self.hits, np.ones(len(raw), np.int32)])
+        out, size = gather(self.known, self.size, at), self.size[at]
+        stay = pc.binary_length(self.words).to_numpy() <= WORD_BYTES
+        if stay.sum() > WORDS:
+            order = np.flatnonzero(stay)
+            stay[order[np.argsort(self.hits[order], kind="stable")[:-STAY]]] = False
+            self.hits //= 2
+        if not stay.all():
+            kept = np.flatnonzero(stay)
+            self.known, self.words = gather(self.known, self.size, kept), self.words.take(pa.array(kept))
+            self.size, self.hits = self.size[kept], self.hits[kept]
+        return out, size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, in `width`."""
         if not self.by_words:
             return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split: list[list[str] | None] = []
-        for t in texts:
-            low = lower(t) if t else ""
-            if low and any(s in t or s in low for s in self.special):
-                split.append(None)
-            elif any(c in low for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the pre-tokeniser
-                split.append(low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            else:
-                split.append(low.split())
-        new = set().union(*[x for x in split if x]).difference(self.words)
-        if new:
-            if len(self.words) > CACHE:
-                new = set().union(*[x for x in split if x])
-            self.learn(new)
-        known = self.words.__getitem__
-        return [self.packed(self.whole(t)) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
+        low = [lower(t) if t else "" for t in texts]
+        whole = {i for i, (t, x) in enumerate(zip(texts, low, strict=True)) if x and any(s in t or s in x for s in self.special)}
+        split = pc.ascii_split_whitespace(pa.array(["" if i in whole else x for i, x in enumerate(low)], pa.string()))
+        place = split.values.dictionary_encode()
+        pieces = halves(place.dictionary).dictionary_encode()
+        ids, size = self.look_up(pieces.dictionary)
+        ids = gather(ids, size, pieces.indices.to_numpy())
+        size = size[pieces.indices.to_numpy()].reshape(-1, 2).sum(1, dtype=np.int32)
+        at = place.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at], dtype=np.int64)])[split.offsets.to_numpy()].tolist()
+        ids = gather(ids, size, at)
+        return [self.packed(self.whole(t)) if i in whole else ids[x:y].tobytes() for i, (t, x, y) in enumerate(zip(texts, ends, ends[1:], strict=False))]
+
+
+def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids of the words `at` in a row, of words whose ids stand in a row, `size` each."""
+    start = np.cumsum(size, dtype=np.int64) - size
+    out, done = np.empty(size[at].sum(), ids.dtype), 0
+    for i in range(0, len(at), GATHERED):
+        some = at[i : i + GATHERED]
+        ends = np.cumsum(n := size[some], dtype=np.int64)
+        out[done : done + ends[-1]] = ids[np.repeat(start[some] - ends + n, n) + np.arange(ends[-1])]
+        done += ends[-1]
+    return out
+
+
+def halves(words: pa.StringArray) -> pa.StringArray:
+    """Of each word, what stands before the ASCII punctuation at its end, and that. Pre-tokens end between a letter or digit and
+    punctuation; where another character stands before, the word is its first half."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    cut = ends[:-1] + pc.binary_length(pc.ascii_rtrim(words, characters=string.punctuation)).to_numpy()
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last, before = (raw[np.maximum(cut - k, 0)] if len(raw) else np.zeros(len(cut), np.uint8) for k in (1, 2))
+    # Latin-1's lower-case letters are C3 and a byte from 9F on, but for B7, the sign of division.
+    letter = LETTERS[last] | (before == 0xC3) & (last >= 0x9F) & (last <= 0xBF) & (last != 0xB7)
+    cut = np.where((cut == ends[:-1]) | ~letter, ends[1:], cut)
+    offsets = np.empty(2 * len(cut) + 1, np.int32)
+    offsets[:-1:2], offsets[1::2], offsets[-1] = ends[:-1], cut, ends[-1]
+    return pa.StringArray.from_buffers(2 * len(cut), pa.py_buffer(offsets), words.buffers()[2])
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -242,25 +300,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     sizes.withColumn("within", within).join(totals, "part").select("part", "block", (F.col("before") + F.col("within")).alias("start")).write.mode("overwrite").parquet(f"{path}/index")
 
 
+def decoded(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Documents of blocks; order: the ids by rank."""
+    for b in batches:
+        lists = {k: b.column(k) for k in ("doc_ids", "lengths")}
+        for i in range(b.num_rows):
+            start, n, control, data = (b.column(k)[i].as_py() for k in ("start", "n_ids", "control", "data"))
+            ids = order[unpack(control, data, n)].astype("<u4")
+            size = lists["lengths"][i].values.to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            crc = [zlib.crc32(ids[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+            # Arrow's converter never lets go of a memoryview that it is given, nor of what stands behind it; so the column is made of its buffers.
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([lists["doc_ids"][i].values, pa.array(ends[:-1] + start), pa.array(size), pa.array(crc, pa.int64()), raw], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
     order = [r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()]
     shared = spark.sparkContext.broadcast(np.array(order, np.uint32))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        for b in batches:
-            lists = {k: b.column(k) for k in ("doc_ids", "lengths")}
-            for i in range(b.num_rows):
-                start, n, control, data = (b.column(k)[i].as_py() for k in ("start", "n_ids", "control", "data"))
-                ids = memoryview(order[unpack(control, data, n)].astype("<u4").tobytes())
-                size = lists["lengths"][i].values.to_numpy().astype(np.int64)
-                at = np.cumsum(size) - size
-                raw = [ids[4 * x : 4 * (x + m)] for x, m in zip(at.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [lists["doc_ids"][i].values, pa.array(at + start), pa.array(size), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+        return decoded(batches, shared.value)
 
     blocks = spark.read.parquet(f"{path}/blocks").join(spark.read.parquet(f"{path}/index"), ["part", "block"])
     return map_batches(blocks.select("start", "doc_ids", "lengths", "n_ids", "control", "data"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", holds=True)

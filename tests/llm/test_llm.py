@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 import types
 import zlib
 from collections import Counter
@@ -181,6 +182,36 @@ def test_encoder():
     assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [enc.whole(t or "") for t in texts]
 
 
+def test_encoder_with_a_full_table(monkeypatch):
+    monkeypatch.setattr(token_output, "WORDS", 40)
+    monkeypatch.setattr(token_output, "STAY", 20)
+    enc = token_output.Encoder(token_output.default_tokenizer())
+    letters = [f"x{chr(c)}y{chr(c)}. {chr(c)}" for c in range(0xA1, 0x250)]
+    odd = ["foo…. …!! a÷. b\x1c. c×! 1. x's. 'll ''. d'. . é? é\u0301! ﬁ. \u3000w.\u00a0v, ª. ſ; ", "Σ A. B", "q" * 200 + ". end", " lead  and trail. "]
+    for i in range(0, len(letters), 50):
+        texts = [*letters[i : i + 50], *odd, LONG, None, ""]
+        assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [enc.whole(t or "") for t in texts]
+        assert len(enc.words) == len(enc.size) == len(enc.hits) <= 40 and enc.size.sum() == len(enc.known)
+        assert max(len(w.encode()) for w in enc.words.to_pylist()) <= token_output.WORD_BYTES
+
+
+def test_decoding_keeps_nothing():
+    ids = np.arange(250_000, dtype=np.uint32) % 1000
+    control, data = token_output.pack(ids)
+    row = {"start": 5, "doc_ids": [1, 2, 3], "lengths": [0, 50_000, 200_000], "n_ids": len(ids), "control": control, "data": data}
+    batch = pa.RecordBatch.from_pylist([row] * 3)
+    tracemalloc.start()
+    try:
+        for _ in range(4):
+            for b in token_output.decoded(iter([batch]), np.arange(1000, dtype=np.uint32)):
+                assert b.column("start").to_pylist() == [5, 5, 50_005]
+                assert b.column("ids").to_pylist() == [b"", ids[:50_000].tobytes(), ids[50_000:].tobytes()]
+        b = None
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_variable_length_code():
     v = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(v) + 1):
