@@ -19,7 +19,7 @@
    shingles are the whole multiset: its similarities are known at once. Of several sure partners in one component the best
    is enough. Of longer texts, pairs are sure from an estimated similarity of `DOUBT` above the threshold, and are verified
    from as much below.
-5. Components are found by alternating large-star and small-star steps on edge tables.
+5. Components are found by alternating large-star and small-star steps on edge tables, a shuffle each, until all are stars.
 
 With 24 bands of 5, a pair at the threshold of 0.8 shares a bucket with probability 0.9999; it agrees in fewer than 0.65 of
 120 registers with probability 0.00005, and a sketch's estimate is off by `DOUBT` with probability 0.000002.
@@ -39,11 +39,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.llm.common import HOT_ROWS, discard, map_batches, release, renamed, skew_join, store, table
+from tessera.llm.common import HOT_ROWS, HOT_SHARE, discard, map_batches, release, renamed, skew_join, store, table
 from tessera.llm.decontaminate import FOLD
 
 WORDS, THRESHOLD, BANDS, ROWS, ESTIMATE = 5, 0.8, 24, 5, 0.65
 SKETCH, DOUBT, BLOCK = 1024, 0.06, 512
+#: Edges and places in buckets are some 50 bytes each: a key of them is hot from so many times HOT_ROWS.
+NARROW = 20
 #: Text bytes that are signed at once; the arrays of points take some 40 times as much.
 SIGN_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -166,7 +168,7 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Six bytes a shingle, in order: enough to tell the shingles of two texts apart."""
     for b in batches:
         sets = [np.sort(multiset(t)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig"), pa.array(sets, pa.binary())], names=["node", "sig", "set"])
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -262,25 +264,53 @@ def _verify(threshold: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _least(rows: DataFrame, total: int, hot_rows: int) -> DataFrame:
+    """Distinct rows (u, v) with m, the least v of their u. One shuffle; the rows of hot u, if there are any, are not moved to one task."""
+    by_u = Window.partitionBy("u").orderBy("v")
+    windowed = lambda x: x.withColumns({"m": F.first("v").over(by_u), "before": F.lag("v").over(by_u)}).filter("before is null or before != v").select("u", "v", "m")
+    bound = max(NARROW * hot_rows, total // HOT_SHARE)
+    if total <= bound:
+        return windowed(rows)
+    hot = store(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).filter(F.col("n") > bound).select("u", "m"))
+    if not hot.limit(1).count():
+        return windowed(rows)
+    return rows.distinct().join(F.broadcast(hot), "u").select("u", "v", "m").unionByName(windowed(rows.join(F.broadcast(hot.select("u")), "u", "left_anti")))
+
+
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """node, comp (the least node of the component) of all nodes that edges (a, b) touch."""
-    edges = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    mark = None  # rows that large star repeats go with small star's
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    total, small = edges.count(), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: greater neighbours move to the least of all. Every node has its lesser neighbours alone after it.
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(large.filter("u != v"))
+        # Large star: greater neighbours move to the least of all. Of a node with several lesser ones a row without v tells.
+        both = _least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total, hot_rows).filter("v > u or v > m")
+        moved, root = F.col("m") < F.col("u"), (F.col("v") == F.col("m")) & (F.col("m") > F.col("u"))
+        large = store(both.select(F.greatest("u", "v").alias("u"), F.when(F.col("v") > F.col("u"), F.least("u", "m")).alias("v"), moved.alias("moved"), root.alias("root")))
+        discard(small)
+        total, changed = large.agg(F.count("v"), F.max("moved")).first()
+        if not changed:  # all components are stars, and these are their edges, once each
+            return large.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(large.filter("root").select(F.col("v").alias("node"), F.col("v").alias("comp")))
         # Small star: lesser neighbours and the node itself move to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        before, edges = edges, store(small.filter("u != v").distinct())
-        discard(before, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        mark = now
+        least = _least(large.filter("v is not null").select("u", "v"), total, hot_rows)
+        edges = small = store(least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
+        discard(large)
+        total = edges.count()
+
+
+def _opened(placed: DataFrame, hot: bool) -> DataFrame:
+    """Rows of the buckets with nodes of several components: whether a row is inside the largest component, how many are not
+    (odd), and how many there are (all). One shuffle by bucket, which gives places (i) too, among a bucket's rows inside and among the
+    others; with hot buckets, aggregates and a join that Spark can split, without i."""
+    if hot:
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "score", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
+        rows = placed.join(main, "key")
+    else:
+        bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "comp")
+        rows = placed.withColumn("all", F.count("*").over(bucket)).withColumns({"n": F.count("*").over(part), "best": F.max("score").over(part)})
+        rows = rows.withColumns({"main": F.max_by("comp", F.struct("n", "best", "comp")).over(bucket), "most": F.max("n").over(bucket)}).filter("all > most")
+    rows = rows.select("key", "node", "score", "comp", (F.col("comp") == F.col("main")).alias("inside"), (F.col("all") - F.col("most")).alias("odd"), "all")
+    return rows if hot else rows.withColumn("i", F.row_number().over(Window.partitionBy("key", "inside").orderBy(F.desc("score"), "node")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -293,11 +323,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_R
     rows = nodes.select("node", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     member = store(rows.join(several, "key"))
+    n_member, largest = member.agg(F.count("*"), F.max("n")).first()
+    hot = (largest or 0) > max(NARROW * hot_rows, n_member // HOT_SHARE)
     used = store(member.groupBy("node").agg(F.sum("n").alias("score")))
     member = member.select("key", "node").join(used, "node")
-    used = used.join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node")
-    with_text = texts.join(used, texts["doc_id"].eqNullSafe(used["d"]) & (texts["th"] == used["h"])).select("node", "text")
-    sets = store(map_batches(with_text, _multisets, "node binary, set binary"))
+    used = used.join(nodes.select("node", "rep", "sig"), "node").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("h"), "node", "sig")
+    with_text = texts.join(used, texts["doc_id"].eqNullSafe(used["d"]) & (texts["th"] == used["h"])).select("node", "sig", "text")
+    sets = store(map_batches(with_text, _multisets, "node binary, sig binary, set binary"))
     if _repeats(signed):
         sets = store(sets.dropDuplicates(["node"]))
     release(spark)
@@ -308,31 +340,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_R
         ratio = F.octet_length("x") / F.octet_length("y")  # sizes alone bound the similarity
         return map_batches(with_y.filter((ratio >= threshold) & (ratio <= 1 / threshold)).select("a", "b", "x", "y"), _verify(threshold), "a binary, b binary")
 
-    comp = links = None
+    comp = None
     few = 1
     while True:
         placed = member if comp is None else member.join(comp, "node", "left")
         placed = placed.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("score").alias("score"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "score", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
-        open_ = store(placed.join(main, "key").select("key", "node", "score", "comp", (F.col("comp") == F.col("main")).alias("inside"), (F.col("all") - F.col("most")).alias("odd"), "all"))
+        open_ = store(_opened(placed, hot))
         # Blocks: the few in parts of BLOCK, each beside every salt of the nodes that are compared with them.
         salts, parts = F.floor(F.col("all") / (8 * BLOCK)), F.floor((F.least("all", F.lit(few)) - 1) / BLOCK)
-        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
-        chosen = open_.filter((F.col("odd") <= few) != F.col("inside")).withColumn("i", nth).filter(F.col("i") <= few)
+        chosen = open_.filter((F.col("odd") <= few) != F.col("inside"))
+        chosen = (chosen.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))) if hot else chosen).filter(F.col("i") <= few)
         chosen = chosen.select("key", F.floor((F.col("i") - 1) / BLOCK).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.lit(False).alias("asked"), "node", "comp")
         asked = open_.filter((F.col("odd") <= few) | ~F.col("inside")).withColumn("salt", F.pmod(F.xxhash64("node"), salts + 1))
         asked = asked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("part"), "salt", F.lit(True).alias("asked"), "node", "comp")
-        block = chosen.unionByName(asked).join(nodes.select("node", "sig"), "node")
-        if comp is None:  # signatures do for the comparison with one node of each bucket; later rounds have fewer buckets
-            block = block.withColumns({"sketch": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")})
-        else:
-            block = block.join(sets.select("node", F.substring("set", 1, 6 * SKETCH).alias("sketch"), F.floor(F.octet_length("set") / 6).alias("n")), "node")
+        # Signatures do for the comparison with one node of each bucket; later rounds have fewer buckets.
+        sketch, n = (F.lit(None).cast("binary"), F.lit(None).cast("long")) if comp is None else (F.substring("set", 1, 6 * SKETCH), F.floor(F.octet_length("set") / 6))
+        block = chosen.unionByName(asked).join(sets.select("node", "sig", sketch.alias("sketch"), n.alias("n")), "node")
         block = block.repartition("key", "part", "salt").sortWithinPartitions("key", "part", "salt", "asked")
         found = store(linked(map_batches(block, _compare(threshold), "a binary, b binary").distinct()))
-        if links is None or found.limit(1).count():
-            links = found if links is None else store(links.unionByName(found))
-            comp = components(links)
+        if comp is None or found.limit(1).count():
+            stars = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+            comp = components(stars, hot_rows)
         member = open_.filter(F.col("odd") > few).select("key", "node", "score")
         release(spark)
         if member.limit(1).count() == 0:

@@ -326,6 +326,50 @@ def test_near_dedup_of_a_hot_group(spark, size):
     assert dict(near_dedup.assign(docs).select("doc_id", "class_id").collect()) == dict(enumerate(least))
 
 
+@pytest.mark.parametrize("hot_rows", [10_000, 1])
+def test_near_dedup_components(spark, hot_rows):
+    """Stars, a chain, a node with many lesser neighbours, loops, repeats and random edges: components as from union-find. A table
+    that holds a star already takes one shuffle: few tasks at four partitions."""
+    rng = random.Random(hot_rows)
+    own = rng.sample(range(200, 500), 300)
+    edges = [(0, i) for i in range(1, 60)] * 2 + [(i, i + 1) for i in range(60, 90)] + [(199, i) for i in range(100, 150)] + [(95, 95)] + [(rng.choice(own), rng.choice(own)) for _ in range(160)]
+
+    def find(pairs, up):
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            if a != b:
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+        return {x: top(x) for x in up}
+
+    def run(pairs):
+        df = common.store(spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in pairs], "a binary, b binary").coalesce(1))
+        group = f"components {hot_rows} {len(pairs)}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = near_dedup.components(df, hot_rows).collect()
+        spark.sparkContext.setJobGroup("rest", "rest")
+        track = spark.sparkContext.statusTracker()
+        tasks = sum(x.numCompletedTasks for j in track.getJobIdsForGroup(group) for k in track.getJobInfo(j).stageIds if (x := track.getStageInfo(k)))
+        assert sorted((int(r.node), int(r.comp)) for r in rows) == sorted(find(pairs, {}).items())
+        return tasks
+
+    run(edges)
+    run([])
+    assert run(edges[:59]) <= 20 or hot_rows == 1
+
+
+def test_near_dedup_by_joins_of_hot_buckets(spark):
+    """Near copies in buckets over the bound are counted by aggregates and a join: the same classes."""
+    w = [f"v{i}" for i in range(300)]
+    texts = [" ".join([*w[: i * 7], f"n{i}", *w[i * 7 + 1 :]]) for i in range(40)]
+    docs = frame(spark, texts)
+    assert {r.class_id for r in near_dedup.assign(docs, hot_rows=1).collect()} == {r.class_id for r in near_dedup.assign(docs).collect()} == {0}
+
+
 def test_signature_is_unbiased():
     z = []
     for n in (12, 80, 900):
